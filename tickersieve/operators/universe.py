@@ -20,18 +20,20 @@ from tickersieve.config import (
 )
 from tickersieve.functions.numbers import blank_to_null, strip
 from tickersieve.functions.symbols import normalize_symbol
-from tickersieve.operators.rows import first_per_key
+from tickersieve.operators.rows import first_per_key, keep_by
 from tickersieve.schemas import RISK_TYPE, STOCK_COLUMNS, STOCK_SCHEMA
 
-# Distance between the ordinals of two merged sources; nested merges use the wider one.
+# Distance between the ordinals of two merged sources.
 SOURCE_STRIDE = 10**12
-NESTED_STRIDE = 10**15
+# Ordinals of the user's own stocks start here, after all constituents.
+CUSTOM_ORDINALS = 10**15
 
 
 def union_keep_first(*sources: DataFrame, stride: int = SOURCE_STRIDE) -> DataFrame:
     """Rows of all sources, one per symbol: the earliest source wins, then the lowest ordinal.
 
-    Blank symbols are dropped. Ordinals are shifted so that they order the merged rows.
+    Blank symbols are dropped. Ordinals are shifted by the stride per source, so that they
+    order the merged rows; use 0 if they do so already.
     """
     merged = None
     for rank, source in enumerate(sources):
@@ -39,12 +41,16 @@ def union_keep_first(*sources: DataFrame, stride: int = SOURCE_STRIDE) -> DataFr
             {
                 "symbol": normalize_symbol(F.col("symbol")),
                 "ordinal": F.col("ordinal").cast("long") + F.lit(rank * stride),
+                "_source": F.lit(rank),
             }
         )
         merged = shifted if merged is None else merged.unionByName(shifted, allowMissingColumns=True)
     if merged is None:
         raise ValueError("at least one source is needed")
-    return first_per_key(merged.where(F.col("symbol") != ""), "symbol")
+    named = merged.where(F.col("symbol") != "")
+    return keep_by(named, "symbol", F.col("_source").asc(), F.col("ordinal").asc_nulls_last()).drop(
+        "_source"
+    )
 
 
 def _defaults_struct(values: tuple) -> Column:
@@ -103,8 +109,18 @@ def with_sector_defaults(rows: DataFrame) -> DataFrame:
 
 
 def shared_list_stocks(rows: DataFrame) -> DataFrame:
-    """Watchlist rows to stock rows, marked as the user's own."""
-    return with_sector_defaults(rows).withColumns(
+    """Watchlist rows to stock rows, marked as the user's own; blank cells get list defaults."""
+    symbol = normalize_symbol(F.col("symbol"))
+    named = rows.withColumns(
+        {
+            "name": F.coalesce(blank_to_null(F.col("name")), symbol),
+            "sector": F.coalesce(blank_to_null(F.col("sector")), F.lit(WATCHLIST_SECTOR)),
+            "sub_industry": F.coalesce(
+                blank_to_null(F.col("sub_industry")), F.lit(SHARED_LIST_LABEL)
+            ),
+        }
+    )
+    return with_sector_defaults(named).withColumns(
         {"is_custom": F.lit(True), "fundamental_source": F.lit(SOURCE_SHARED_LIST)}
     )
 
@@ -185,24 +201,28 @@ def refresh_universe(
     `constituents` and `shared` are raw rows, `old` is the stock table being refreshed.
     """
     stocks = union_keep_first(with_sector_defaults(constituents))
-    custom = shared_list_stocks(shared)
-    if old is None:
-        custom = union_keep_first(custom)
-    else:
+    custom = union_keep_first(shared_list_stocks(shared))
+    if old is not None:
         stocks = carry_forward(stocks, old)
-        custom = carry_forward(first_per_key(custom.where("symbol != ''"), "symbol"), old)
-        custom = union_keep_first(old.where(is_watched()), custom)
-    return union_keep_first(stocks, _as_custom(custom), stride=NESTED_STRIDE).select(*STOCK_COLUMNS)
+        added = _after(carry_forward(custom, old), old)
+        custom = union_keep_first(old.where(is_watched()), added, stride=0)
+    ordinal = F.col("ordinal")
+    behind = F.when(ordinal < CUSTOM_ORDINALS, ordinal + CUSTOM_ORDINALS).otherwise(ordinal)
+    custom = _as_custom(custom).withColumn("ordinal", behind)
+    return union_keep_first(stocks, custom, stride=0).select(*STOCK_COLUMNS)
+
+
+def _after(rows: DataFrame, existing: DataFrame) -> DataFrame:
+    """Rows with ordinals behind those of a stored table."""
+    last = existing.agg(F.coalesce(F.max("ordinal"), F.lit(-1)).alias("last")).scalar()
+    return rows.withColumn("ordinal", F.col("ordinal") + last + 1)
 
 
 def sync_watchlist(existing: DataFrame, shared: DataFrame) -> DataFrame:
     """Existing stocks untouched, plus the shared rows with new symbols at the end."""
     fresh = _as_custom(union_keep_first(shared_list_stocks(shared)))
     added = fresh.join(existing.select("symbol"), "symbol", "left_anti")
-    last = existing.agg(F.coalesce(F.max("ordinal"), F.lit(-1)).alias("last")).scalar()
-    return existing.unionByName(
-        added.withColumn("ordinal", F.col("ordinal") + last + 1).select(*existing.columns)
-    )
+    return existing.unionByName(_after(added, existing).select(*existing.columns))
 
 
 def only_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
