@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 _SPACES = " \t\n\r\f\v\u00a0\ufeff"
 # Digits and exponents are limited so that every match is a finite double.
 _NUMBER = r"[+-]?(?:[0-9]{1,150}\.?[0-9]*|\.[0-9]+)(?:[eE](?:-[0-9]{1,3}|\+?[0-9]{1,2}(?![0-9])))?"
-_WHOLE_NUMBER = f"^({_NUMBER})$"
-_NUMBER_PREFIX = rf"^\s*({_NUMBER})"
+_BLANKS = r"[\s\u00a0\ufeff]*"
+_WHOLE_NUMBER = f"^{_BLANKS}({_NUMBER}){_BLANKS}$"
+_NUMBER_PREFIX = f"^{_BLANKS}({_NUMBER})"
 
 
 def strip(text: Column) -> Column:
@@ -23,9 +24,8 @@ def finite(number: Column) -> Column:
 
 def parse_strict(text: Column, blank: str = "null") -> Column:
     """A number only if the whole trimmed text is one; '' is NULL or 0."""
-    trimmed = strip(text)
-    number = F.regexp_extract(trimmed, _WHOLE_NUMBER, 1).try_cast("double")
-    return F.when(trimmed == "", 0.0).otherwise(number) if blank == "zero" else number
+    number = F.regexp_extract(text, _WHOLE_NUMBER, 1).try_cast("double")
+    return F.when(strip(text) == "", 0.0).otherwise(number) if blank == "zero" else number
 
 
 def parse_loose(text: Column, blank: str = "null") -> Column:

@@ -1,4 +1,8 @@
-"""Price and fundamentals snapshots: reading their columns and merging them onto stocks."""
+"""Price and fundamentals snapshots: reading their columns and merging them onto stocks.
+
+Stock rows carry normalised symbols, so every merge joins on the plain column and keeps the
+partitioning of the stock table.
+"""
 
 from __future__ import annotations
 
@@ -91,22 +95,21 @@ def resolve_price_snapshot(raw: DataFrame, cfg: ScreenConfig = ScreenConfig()) -
 def merge_prices(stocks: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Set price and source from the last snapshot row of each symbol; extras where present."""
     latest = last_per_key(snapshot, "symbol").select(
-        F.col("symbol").alias("_symbol"),
-        F.struct("price", "date", "source", *PRICE_EXTRAS).alias("_snap"),
+        "symbol", F.struct("price", "date", "source", *PRICE_EXTRAS).alias("_snap")
     )
     snap = F.col("_snap")
     source = F.concat(
         F.coalesce(blank_to_null(snap["source"]), F.lit(SOURCE_PRICE_DEFAULT)),
         F.coalesce(F.concat(F.lit(" "), blank_to_null(snap["date"])), F.lit("")),
     )
-    joined = stocks.join(latest, normalize_symbol(stocks["symbol"]) == F.col("_symbol"), "left")
+    joined = stocks.join(latest, "symbol", "left")
     return joined.withColumns(
         {
             "price_source": F.when(snap.isNotNull(), source).otherwise(F.col("price_source")),
             "price": F.coalesce(snap["price"], F.col("price")),
             **{name: F.coalesce(snap[name], F.col(name)) for name in PRICE_EXTRAS},
         }
-    ).drop("_snap", "_symbol")
+    ).select(*stocks.columns)
 
 
 def resolve_fund_snapshot(raw: DataFrame) -> DataFrame:
@@ -173,9 +176,9 @@ def fundamental_updates(
     """
     blank = cfg.blank_numeric
     latest = last_per_key(snapshot, "symbol").select(
-        F.col("symbol").alias("_symbol"), *_offers(blank)
+        "symbol", F.lit(True).alias("_matched"), *_offers(blank)
     )
-    joined = stocks.join(latest, normalize_symbol(stocks["symbol"]) == F.col("_symbol"), "left")
+    joined = stocks.join(latest, "symbol", "left")
 
     def open_for(name: str) -> Column:
         return F.lit(True) if overwrite else F.col(name).isNull()
@@ -186,7 +189,7 @@ def fundamental_updates(
     risk_open = F.lit(True) if overwrite else ~F.coalesce(F.col("risk_auto"), F.lit(False))
     any_assumption = reduce(or_, [takes(name) for name in _ASSUMPTIONS])
     any_risk = reduce(or_, [F.col(f"_risk_{r}").isNotNull() for r in _DERIVED_RISKS]) & risk_open
-    matched = F.col("_symbol").isNotNull()
+    matched = F.col("_matched").isNotNull()
     touched = any_assumption | any_risk | F.coalesce(F.col("_has_date"), F.lit(False))
     risk = F.struct(
         *[
@@ -261,7 +264,7 @@ def apply_overrides(stocks: DataFrame, overrides: DataFrame) -> DataFrame:
     """
     names = {**OVERRIDE_FIELDS, **{f"risk.{r}": f"risk.{r}" for r in RISK_FIELDS}}
     number = parse_prefix(F.col("value"))
-    edits = overrides.groupBy(normalize_symbol(F.col("symbol")).alias("_symbol")).agg(
+    edits = overrides.groupBy(normalize_symbol(F.col("symbol")).alias("symbol")).agg(
         *[
             F.max_by(number, F.when(F.col("field") == field, F.col("ordinal"))).alias(f"_v_{i}")
             for i, field in enumerate(names)
@@ -271,7 +274,7 @@ def apply_overrides(stocks: DataFrame, overrides: DataFrame) -> DataFrame:
             for i, field in enumerate(names)
         ],
     )
-    joined = stocks.join(edits, normalize_symbol(stocks["symbol"]) == F.col("_symbol"), "left")
+    joined = stocks.join(edits, "symbol", "left")
     slot = {field: i for i, field in enumerate(names)}
 
     def edited(field: str) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,25 +51,31 @@ def union_keep_first(*sources: DataFrame, stride: int = SOURCE_STRIDE) -> DataFr
     )
 
 
-def _defaults_struct(values: tuple) -> Column:
-    names = ("eps_growth", "rev_growth", "gross_margin", "op_margin", "exit_pe", "discount_rate")
-    numbers = [F.lit(float(v)).alias(n) for n, v in zip(names, values[:6])]
-    risk = F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(RISK_FIELDS, values[6])])
-    return F.struct(*numbers, risk.alias("risk"))
+_ASSUMPTIONS = ("eps_growth", "rev_growth", "gross_margin", "op_margin", "exit_pe", "discount_rate")
 
 
-def sector_default(sector: Column) -> Column:
-    """Default assumptions of a sector as a struct; a constant map, so no join is needed."""
-    entries = chain.from_iterable(
-        (F.lit(name), _defaults_struct(values)) for name, values in SECTOR_DEFAULTS.items()
-    )
-    found = F.element_at(F.create_map(*entries), sector)
-    return F.coalesce(found, _defaults_struct(SECTOR_DEFAULTS[FALLBACK_SECTOR]))
+def _defaults_sql(values: tuple) -> str:
+    def fields(names: tuple[str, ...], numbers: tuple) -> str:
+        return ", ".join(f"'{n}', {float(v)}D" for n, v in zip(names, numbers))
+
+    risk = f"named_struct({fields(RISK_FIELDS, values[6])})"
+    return f"named_struct({fields(_ASSUMPTIONS, values[:6])}, 'risk', {risk})"
+
+
+def sector_default(sector: str) -> Column:
+    """Default assumptions for a sector column; a constant map, so no join is needed."""
+    entries = ", ".join(f"'{name}', {_defaults_sql(v)}" for name, v in SECTOR_DEFAULTS.items())
+    fallback = _defaults_sql(SECTOR_DEFAULTS[FALLBACK_SECTOR])
+    return F.expr(f"coalesce(element_at(map({entries}), `{sector}`), {fallback})")
 
 
 def with_sector_defaults(rows: DataFrame) -> DataFrame:
-    """`symbol, name, sector, sub_industry, ordinal` rows to full stock rows."""
+    """`symbol, name, sector, sub_industry, ordinal` rows to full stock rows.
+
+    Columns that start with an underscore pass through.
+    """
     known = set(rows.columns)
+    helpers = [c for c in rows.columns if c.startswith("_")]
 
     def text(name: str) -> Column:
         return blank_to_null(F.col(name)) if name in known else F.lit(None).cast("string")
@@ -85,7 +89,8 @@ def with_sector_defaults(rows: DataFrame) -> DataFrame:
         (F.col("is_custom") if "is_custom" in known else F.lit(None).cast("boolean")).alias(
             "is_custom"
         ),
-    ).withColumn("d", sector_default(F.col("sector")))
+        *helpers,
+    ).withColumn("d", sector_default("sector"))
     filled = {
         "price_source": F.lit(SOURCE_MANUAL_PRICE),
         "notes": F.lit(""),
@@ -95,8 +100,7 @@ def with_sector_defaults(rows: DataFrame) -> DataFrame:
         "risk_auto": F.lit(False),
         "risk": F.col("d.risk").cast(RISK_TYPE),
     }
-    for name in ("eps_growth", "rev_growth", "gross_margin", "op_margin", "exit_pe", "discount_rate"):
-        filled[name] = F.col(f"d.{name}")
+    filled.update({name: F.col(f"d.{name}") for name in _ASSUMPTIONS})
     own = set(base.columns)
     return base.select(
         *[
@@ -104,24 +108,31 @@ def with_sector_defaults(rows: DataFrame) -> DataFrame:
             if f.name in own
             else filled.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
             for f in STOCK_SCHEMA.fields
-        ]
+        ],
+        *helpers,
     )
 
 
-def shared_list_stocks(rows: DataFrame) -> DataFrame:
-    """Watchlist rows to stock rows, marked as the user's own; blank cells get list defaults."""
+_ROW = ("symbol", "name", "sector", "sub_industry", "ordinal")
+
+
+def list_rows(rows: DataFrame) -> DataFrame:
+    """Watchlist rows with list defaults for blank cells."""
     symbol = normalize_symbol(F.col("symbol"))
-    named = rows.withColumns(
-        {
-            "name": F.coalesce(blank_to_null(F.col("name")), symbol),
-            "sector": F.coalesce(blank_to_null(F.col("sector")), F.lit(WATCHLIST_SECTOR)),
-            "sub_industry": F.coalesce(
-                blank_to_null(F.col("sub_industry")), F.lit(SHARED_LIST_LABEL)
-            ),
-        }
-    )
-    return with_sector_defaults(named).withColumns(
-        {"is_custom": F.lit(True), "fundamental_source": F.lit(SOURCE_SHARED_LIST)}
+    defaults = {
+        "name": symbol,
+        "sector": F.lit(WATCHLIST_SECTOR),
+        "sub_industry": F.lit(SHARED_LIST_LABEL),
+    }
+    return rows.withColumns(
+        {c: F.coalesce(blank_to_null(F.col(c)), default) for c, default in defaults.items()}
+    ).select(*_ROW)
+
+
+def shared_list_stocks(rows: DataFrame) -> DataFrame:
+    """Watchlist rows to stock rows, marked as the user's own, one per symbol."""
+    return _as_custom(with_sector_defaults(union_keep_first(list_rows(rows)))).withColumn(
+        "fundamental_source", F.lit(SOURCE_SHARED_LIST)
     )
 
 
@@ -144,37 +155,40 @@ _OLD_OR_NEW = (
     "return4m",
     "return6m",
     "is_custom",
+    "risk_auto",  # kept with the risk scores it describes
 )
-# Kept with the risk scores they describe.
-_WITH_RISK = ("risk_auto",)
 
 
-def carry_forward(new: DataFrame, old: DataFrame) -> DataFrame:
+def carry_forward(new: DataFrame, old: DataFrame, whole: Column | None = None) -> DataFrame:
     """New stock rows with the prices and assumptions of the old rows of the same symbol.
 
-    52-week values and earnings dates are not carried. `old` has one row per symbol.
+    52-week values and earnings dates are not carried, except for rows where `whole` holds:
+    these become their old rows. `old` has one row per symbol.
     """
-    kept = (*_ALWAYS_OLD, *_OLD_OR_NEW, *_WITH_RISK)
     previous = old.select(
-        "symbol", F.lit(True).alias("_known"), *[F.col(c).alias(f"_old_{c}") for c in kept]
+        "symbol",
+        F.lit(True).alias("_known"),
+        *[F.col(c).alias(f"_old_{c}") for c in STOCK_COLUMNS if c != "symbol"],
     )
-    joined = new.join(previous, "symbol", "left")
+    missing = {"notes": "", "fundamental_auto": False, "fundamental_manual": False}
     updated = {}
-    for name in _ALWAYS_OLD:
-        updated[name] = F.when(F.col("_known"), F.col(f"_old_{name}")).otherwise(F.col(name))
-    for name in (*_OLD_OR_NEW, *_WITH_RISK):
-        updated[name] = F.coalesce(F.col(f"_old_{name}"), F.col(name))
-    updated["notes"] = F.when(
-        F.col("_known"), F.coalesce(F.col("_old_notes"), F.lit(""))
-    ).otherwise(F.col("notes"))
-    for name in ("fundamental_auto", "fundamental_manual"):
-        updated[name] = F.when(
-            F.col("_known"), F.coalesce(F.col(f"_old_{name}"), F.lit(False))
-        ).otherwise(F.col(name))
-    updated["is_custom"] = F.when(
-        F.col("_known"), F.coalesce(F.col("_old_is_custom"), F.col("is_custom"), F.lit(False))
-    ).otherwise(F.col("is_custom"))
-    return joined.withColumns(updated).select(*STOCK_COLUMNS)
+    for name in STOCK_COLUMNS:
+        kept, own = F.col(f"_old_{name}"), F.col(name)
+        if name in _ALWAYS_OLD:
+            updated[name] = F.when(F.col("_known"), kept).otherwise(own)
+        elif name in missing:
+            default = F.coalesce(kept, F.lit(missing[name]))
+            updated[name] = F.when(F.col("_known"), default).otherwise(own)
+        elif name == "is_custom":
+            flag = F.coalesce(kept, own, F.lit(False))
+            updated[name] = F.when(F.col("_known"), flag).otherwise(own)
+        elif name in _OLD_OR_NEW:
+            updated[name] = F.coalesce(kept, own)
+        if whole is not None and name not in ("symbol", "ordinal"):
+            updated[name] = F.when(whole, kept).otherwise(updated.get(name, own))
+    helpers = [c for c in new.columns if c.startswith("_")]
+    joined = new.join(previous, "symbol", "left")
+    return joined.withColumns(updated).select(*STOCK_COLUMNS, *helpers)
 
 
 def is_watched() -> Column:
@@ -183,12 +197,14 @@ def is_watched() -> Column:
     )
 
 
-def _as_custom(stocks: DataFrame) -> DataFrame:
+def _as_custom(stocks: DataFrame, own: Column | None = None) -> DataFrame:
+    """Mark the user's own stocks (default: all rows) and file unsorted ones as watched."""
+    own = F.lit(True) if own is None else own
     unsorted_sector = F.col("sector").isNull() | F.col("sector").isin("", MISSING_SECTOR)
     return stocks.withColumns(
         {
-            "is_custom": F.lit(True),
-            "sector": F.when(unsorted_sector, WATCHLIST_SECTOR).otherwise(F.col("sector")),
+            "is_custom": F.when(own, True).otherwise(F.col("is_custom")),
+            "sector": F.when(own & unsorted_sector, WATCHLIST_SECTOR).otherwise(F.col("sector")),
         }
     )
 
@@ -198,18 +214,32 @@ def refresh_universe(
 ) -> DataFrame:
     """Constituents, then the user's own stocks (old ones, then shared lists), one per symbol.
 
-    `constituents` and `shared` are raw rows, `old` is the stock table being refreshed.
+    `constituents` and `shared` are raw rows, `old` is the stock table being refreshed. Only
+    the narrow raw rows are shuffled to choose one per symbol; defaults are filled in after
+    that and the old table joins on the same partitioning.
     """
-    stocks = union_keep_first(with_sector_defaults(constituents))
-    custom = union_keep_first(shared_list_stocks(shared))
-    if old is not None:
-        stocks = carry_forward(stocks, old)
-        added = _after(carry_forward(custom, old), old)
-        custom = union_keep_first(old.where(is_watched()), added, stride=0)
-    ordinal = F.col("ordinal")
+    ordinal = F.col("ordinal").cast("long")
     behind = F.when(ordinal < CUSTOM_ORDINALS, ordinal + CUSTOM_ORDINALS).otherwise(ordinal)
-    custom = _as_custom(custom).withColumn("ordinal", behind)
-    return union_keep_first(stocks, custom, stride=0).select(*STOCK_COLUMNS)
+    shared = list_rows(shared)
+    sources = {"listed": constituents.select(*_ROW)}
+    if old is not None:
+        shared = _after(shared, old)
+        sources["old"] = old.where(is_watched()).select(*_ROW).withColumn("ordinal", behind)
+    sources["list"] = shared.withColumn("ordinal", behind)
+    rows = union_keep_first(
+        *[df.withColumn("_origin", F.lit(origin)) for origin, df in sources.items()], stride=0
+    )
+    own = F.col("_origin") != "listed"
+    source = F.when(F.col("_origin") == "list", SOURCE_SHARED_LIST)
+    stocks = with_sector_defaults(rows).withColumns(
+        {
+            "is_custom": F.when(own, True),
+            "fundamental_source": F.coalesce(source, F.col("fundamental_source")),
+        }
+    )
+    if old is not None:
+        stocks = carry_forward(stocks, old, whole=F.col("_origin") == "old")
+    return _as_custom(stocks, own).select(*STOCK_COLUMNS)
 
 
 def _after(rows: DataFrame, existing: DataFrame) -> DataFrame:
@@ -220,8 +250,7 @@ def _after(rows: DataFrame, existing: DataFrame) -> DataFrame:
 
 def sync_watchlist(existing: DataFrame, shared: DataFrame) -> DataFrame:
     """Existing stocks untouched, plus the shared rows with new symbols at the end."""
-    fresh = _as_custom(union_keep_first(shared_list_stocks(shared)))
-    added = fresh.join(existing.select("symbol"), "symbol", "left_anti")
+    added = shared_list_stocks(shared).join(existing.select("symbol"), "symbol", "left_anti")
     return existing.unionByName(_after(added, existing).select(*existing.columns))
 
 
