@@ -13,6 +13,7 @@ from tickersieve.functions.numbers import blank_to_null, finite, first_present,
 from tickersieve.functions.symbols import normalize_symbol, to_api_symbol
 from tickersieve.operators.rows import keep_by
 from tickersieve.schemas import FUND_COLUMNS, FUND_TEXT_COLUMNS
+from tickersieve.sources.store import store
 
 CHART_DDL = (
     "chart struct<result: array<struct<timestamp: array<bigint>, indicators: struct<quote: "
@@ -193,26 +194,30 @@ def info_to_fundamentals(
         "updatedAt": F.lit(updated_at),
         "error": F.left(F.col("error"), F.lit(MAX_ERROR_LENGTH)),
     }
-    return parsed.select(
-        *[
-            special.get(c, text(c) if c in FUND_TEXT_COLUMNS else number(c) if c in INFO_FIELDS else None).alias(c)
-            for c in FUND_COLUMNS
-        ]
-    )
+    for name in FUND_COLUMNS:
+        if name not in special:
+            special[name] = text(name) if name in FUND_TEXT_COLUMNS else number(name)
+    return parsed.select(*[special[name].alias(name) for name in FUND_COLUMNS])
 
 
 def price_waterfall(stocks: DataFrame, *feeds: DataFrame) -> DataFrame:
-    """Prices (`symbol, price, date`) of the first feed that prices any stock at all."""
+    """Prices (`symbol, price, date`) of the first feed that prices any stock at all.
+
+    Feeds are tried in turn and their matches written down, so that each is read at most once
+    and those after the first useful one not at all.
+    """
     symbols = stocks.select(normalize_symbol(F.col("symbol")).alias("symbol"))
-    tagged = None
+    matches = None
     for rank, feed in enumerate(feeds):
-        one = feed.select(
-            normalize_symbol(F.col("symbol")).alias("symbol"), "price", "date", F.lit(rank).alias("feed")
-        )
-        tagged = one if tagged is None else tagged.unionByName(one)
-    usable = tagged.where(truthy(F.col("price"))).join(symbols, "symbol", "left_semi")
-    first = usable.agg(F.min("feed").alias("first")).scalar()
-    return usable.where(F.col("feed") == first)
+        symbol = normalize_symbol(F.col("symbol")).alias("symbol")
+        priced = feed.select(symbol, "price", "date", F.lit(rank).alias("feed"))
+        usable = priced.where(truthy(F.col("price"))).join(symbols, "symbol", "left_semi")
+        matches = store(usable, "feed-matches")
+        if not matches.isEmpty():
+            break
+    if matches is None:
+        raise ValueError("at least one feed is needed")
+    return matches
 
 
 def price_candidates(candidates: DataFrame) -> DataFrame:

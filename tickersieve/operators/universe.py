@@ -255,10 +255,14 @@ def sync_watchlist(existing: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def only_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Snapshot rows whose symbol is wanted."""
-    symbols = wanted.select(normalize_symbol(F.col("symbol")).alias("_wanted"))
-    keyed = rows.withColumn("_wanted", normalize_symbol(F.col("symbol")))
-    return keyed.join(symbols, "_wanted", "left_semi").drop("_wanted")
+    """Rows whose symbol is wanted, with normalised symbols.
+
+    The join is on the symbol itself, so a shuffled join leaves the rows partitioned for the
+    per-symbol operators that follow.
+    """
+    symbols = wanted.select(normalize_symbol(F.col("symbol")).alias("symbol"))
+    keyed = rows.withColumn("symbol", normalize_symbol(F.col("symbol")))
+    return keyed.join(symbols, "symbol", "left_semi").select(*rows.columns)
 
 
 def watchlist_additions(

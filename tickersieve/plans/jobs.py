@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 
 from tickersieve.config import ScreenConfig
-from tickersieve.operators.bars import eod_metrics
+from tickersieve.operators.bars import eod_metrics, within_history
 from tickersieve.operators.feeds import info_to_fundamentals
 from tickersieve.operators.snapshots import (
     apply_overrides,
@@ -18,6 +18,7 @@ from tickersieve.operators.snapshots import (
 )
 from tickersieve.operators.universe import only_wanted, refresh_universe
 from tickersieve.sources.files import require_rows, write_fundamentals, write_prices
+from tickersieve.sources.store import store
 
 # How much history the price job looks at.
 HISTORY_MONTHS = 13
@@ -31,8 +32,13 @@ def price_job(
     as_of: str | dt.date,
     months: int = HISTORY_MONTHS,
 ) -> None:
-    """Bars of the universe to the price snapshot file; fails if nothing was priced."""
-    prices = eod_metrics(only_wanted(bars, universe), updated_at, as_of, months)
+    """Bars of the universe to the price snapshot file; fails if nothing was priced.
+
+    The metrics, one row per symbol, are written once before the check and the sort, which
+    would both go through all bars again otherwise.
+    """
+    recent = within_history(bars, as_of, months)
+    prices = store(eod_metrics(only_wanted(recent, universe), updated_at), "prices")
     write_prices(require_rows(prices, "prices"), path)
 
 
