@@ -48,54 +48,28 @@ def bars_short(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fund(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("p_partkey")
-    text_key = lambda divisor: (key % divisor).cast("string")
-    sector = F.coalesce(
-        F.element_at(
-            F.create_map(
-                *[
-                    F.lit(x)
-                    for pair in (
-                        ("ECONOMY", "Energy"),
-                        ("LARGE", "Financials"),
-                        ("MEDIUM", "Health Care"),
-                        ("PROMO", "Information Technology"),
-                        ("SMALL", "Utilities"),
-                    )
-                    for x in pair
-                ]
-            ),
-            F.col("p_type"),
-        ),
-        F.lit("Unmapped"),
-    )
-    growth = F.element_at(
-        F.array(*[F.lit(t) for t in ("0.12", "12%", "1.5", "1.6", "", "-0.05", "0.02")]),
-        (key % 7).cast("int") + 1,
-    )
-    earnings = F.date_add(F.lit(AS_OF).cast("date"), (key % 40 - 5).cast("int"))
-    return table(spark, sf_dir, "part").select(
-        F.concat(F.lit("p-"), key).alias("symbol"),
-        F.col("p_name").alias("name"),
-        sector.alias("sector"),
-        F.col("p_brand").alias("sub_industry"),
-        key.alias("ordinal"),
-        F.col("p_size").alias("size"),
-        F.col("p_retailprice").alias("retail"),
-        F.when(key % 17 != 0, F.col("p_retailprice")).alias("price"),
-        F.when(key % 13 == 0, "")
-        .when(key % 19 == 0, "-2.5")
-        .otherwise(F.col("p_size").cast("string"))
-        .alias("forward_eps"),
-        F.when(key % 3 == 0, "4.5").otherwise("").alias("trailing_eps"),
-        growth.alias("revenue_growth"),
-        F.when(key % 11 == 0, "").otherwise(F.concat(F.lit("0.0"), text_key(10))).alias("earnings_growth"),
-        F.concat(F.lit("0."), (key % 9 + 1).cast("string")).alias("gross_margins"),
-        F.concat(F.lit("0."), text_key(4), F.lit("5")).alias("operating_margins"),
-        ((key * 7) % 350).cast("string").alias("debt_to_equity"),
-        F.concat(F.lit("1."), text_key(10)).alias("beta"),
-        ((key * 3) % 140).cast("string").alias("forward_pe"),
-        F.when(key % 5 == 0, "").otherwise(earnings.cast("string")).alias("next_earnings_date"),
+    return table(spark, sf_dir, "part").selectExpr(
+        "concat('p-', p_partkey) AS symbol",
+        "p_name AS name",
+        """coalesce(element_at(map('ECONOMY', 'Energy', 'LARGE', 'Financials', 'MEDIUM', 'Health Care',
+           'PROMO', 'Information Technology', 'SMALL', 'Utilities'), p_type), 'Unmapped') AS sector""",
+        "p_brand AS sub_industry",
+        "p_partkey AS ordinal",
+        "p_size AS size",
+        "p_retailprice AS retail",
+        "if(p_partkey % 17 = 0, NULL, p_retailprice) AS price",
+        """if(p_partkey % 13 = 0, '', if(p_partkey % 19 = 0, '-2.5', string(p_size))) AS forward_eps""",
+        "if(p_partkey % 3 = 0, '4.5', '') AS trailing_eps",
+        """element_at(array('0.12', '12%', '1.5', '1.6', '', '-0.05', '0.02'),
+           int(p_partkey % 7) + 1) AS revenue_growth""",
+        "if(p_partkey % 11 = 0, '', concat('0.0', p_partkey % 10)) AS earnings_growth",
+        "concat('0.', p_partkey % 9 + 1) AS gross_margins",
+        "concat('0.', p_partkey % 4, '5') AS operating_margins",
+        "string((p_partkey * 7) % 350) AS debt_to_equity",
+        "concat('1.', p_partkey % 10) AS beta",
+        "string((p_partkey * 3) % 140) AS forward_pe",
+        f"""if(p_partkey % 5 = 0, '',
+            string(date_add(date '{AS_OF}', int(p_partkey % 40 - 5)))) AS next_earnings_date""",
     )
 
 

@@ -25,6 +25,7 @@ from tickersieve.operators.score import score, with_scores, with_valuation
 from tickersieve.operators.peers import with_peer_stats
 from tickersieve.plans import bindings as B
 from tickersieve.plans import views
+from tickersieve.session import apply_settings
 from tickersieve.sources import files
 from tickersieve.sources.store import new_path, store
 
@@ -37,7 +38,7 @@ _stored: dict[tuple, DataFrame] = {}
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = lambda spark, sf_dir: tidy(function(spark, sf_dir))
+    QUERIES[function.__name__] = lambda spark, sf_dir: tidy(function(apply_settings(spark), sf_dir))
     return function
 
 
