@@ -295,7 +295,14 @@ def summary_cards(stocks: DataFrame, cfg: ScreenConfig, as_of: Day) -> DataFrame
     full = screen(stocks, cfg, as_of)
     order = [c for c in full.columns if c == _SORT_ALIASES.get(cfg.sort_key, cfg.sort_key)]
     figures_need = (
-        "symbol", "ordinal", "current_pe", "upside", "status", "risk_score", "earnings_days", "short_score"
+        "symbol",
+        "ordinal",
+        "current_pe",
+        "upside",
+        "status",
+        "risk_score",
+        "earnings_days",
+        "short_score",
     )
     scored = store(full.select(*dict.fromkeys((*figures_need, *order))), "visible-scores")
 
@@ -304,8 +311,9 @@ def summary_cards(stocks: DataFrame, cfg: ScreenConfig, as_of: Day) -> DataFrame
         # An aggregate without groups has one row even if there is nothing to rank.
         return median_of(rows, "g", value).agg(F.max("median").alias(value)).scalar()
 
-    top = best(scored, cfg, 1)
-    watch = watchlist_top(stocks, cfg, as_of, 1)
+    # One scalar per leader, so that each is worked out once.
+    top = best(scored, cfg, 1).select(F.struct("symbol", "short_score")).scalar()
+    watch = watchlist_top(stocks, cfg, as_of, 1).select(F.struct("symbol", "short_score")).scalar()
     share = lambda test: F.avg(F.when(test, 1.0).otherwise(0.0))
     figures = scored.agg(
         F.count(F.lit(1)).alias("n"),
@@ -320,10 +328,10 @@ def summary_cards(stocks: DataFrame, cfg: ScreenConfig, as_of: Day) -> DataFrame
         "overvalued_share",
         "high_risk_share",
         "earnings_soon",
-        top.select("symbol").scalar().alias("top_symbol"),
-        top.select("short_score").scalar().alias("top_score"),
-        watch.select("symbol").scalar().alias("watch_symbol"),
-        watch.select("short_score").scalar().alias("watch_score"),
+        top["symbol"].alias("top_symbol"),
+        top["short_score"].alias("top_score"),
+        watch["symbol"].alias("watch_symbol"),
+        watch["short_score"].alias("watch_score"),
     )
 
 
