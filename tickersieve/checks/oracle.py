@@ -347,8 +347,7 @@ def model(name: str, src: str, key: str = "'all'", peers: str | None = None,
           and p.pe_now < 500 and p.pe_now <= s.pe_now)"""
     mom = "coalesce(r4, r3, r1)" if horizon == "swing" else "coalesce(r6, r3, r1)"
     weights = {"rate": 1.0, "cyc": 1.1, "margin": 1.0, "balance": 1.0, "crowding": 1.2, "reg": 0.8}
-    risk_top = " + ".join(f"coalesce({clip(r, 1, 5)} * {w}, 0)" if False else
-                          f"case when {r} is null then 0 else {clip(r, 1, 5)} * {w} end"
+    risk_top = " + ".join(f"case when {r} is null then 0 else {clip(r, 1, 5)} * {w} end"
                           for r, w in weights.items())
     risk_den = " + ".join(f"case when {r} is null then 0 else {w} end" for r, w in weights.items())
     block(
@@ -650,15 +649,19 @@ check(
        where price is not null and price <> 0""",
     "bars_l",
 )
+block(
+    "bulk_usable",
+    """select symbol, date, coalesce(close, adj_close) as price from sup
+       where date between date '2001-10-27' and date '2001-11-04' and dayofweek(date) not in (0, 6)
+         and coalesce(close, adj_close) <> 0
+         and k in (select s_suppkey from supplier where s_acctbal > 5000)""",
+    "sup",
+)
 check(
     "bulk_latest_date",
-    """with usable as (select symbol, k, date, coalesce(close, adj_close) as price from sup
-         where date between date '2001-10-27' and date '2001-11-04' and dayofweek(date) not in (0, 6)
-           and coalesce(close, adj_close) <> 0
-           and k in (select s_suppkey from supplier where s_acctbal > 5000))
-       select upper(replace(symbol, '-', '.')) as symbol, round(price, 6) price, cast(date as varchar) date
-       from usable where date = (select max(date) from usable)""".replace("with usable as", "select * from (with usable as") + ")",
-    "sup",
+    """select upper(replace(symbol, '-', '.')) as symbol, round(price, 6) price, cast(date as varchar) date
+       from bulk_usable where date = (select max(date) from bulk_usable)""",
+    "bulk_usable",
 )
 _ts = "case when ordinal % 3 = 0 then 1004832000 + ordinal % 40 * 86400 when ordinal % 3 = 1 then -(ordinal % 2) else 1004918400 + ordinal % 3 * 3600 end"
 _bad = "ordinal % 29 = 4"

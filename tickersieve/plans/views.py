@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +10,6 @@ from pyspark.sql import types as T
 
 from tickersieve.config import ALL, OVERVALUED, SECTOR_ORDER, ScreenConfig
 from tickersieve.functions import scoring as S
-from tickersieve.functions.numbers import positive
 from tickersieve.functions.symbols import normalize_symbol
 from tickersieve.functions.text import matches_search, sector_label, status_label
 from tickersieve.operators.ranking import median_of
