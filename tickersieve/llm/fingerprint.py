@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tickersieve.llm.frames import batch, bytes_of, chunks, documents, map_arrow, ordered_buckets, parts_for, ship
+from tickersieve.llm.frames import batch, bytes_of, chunks, documents, map_arrow, ordered_buckets, parts_for, range_cuts, ship
 from tickersieve.llm.words import BASE, hash_spans, mix, spans
 
 EXACT = 32
@@ -107,8 +107,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text: the last half, rounded down, of its code
     points replaced by the first as many of the next document (ascending doc_id; repeated ids in
     the order of their texts; after the last the first). An empty table gives an empty result."""
-    parts = parts_for(docs)
-    ordered = ordered_buckets(documents(docs), parts, lookahead=True)
+    docs = documents(docs)
+    ordered = ordered_buckets(docs, range_cuts(docs, parts_for(docs)), lookahead=True)
     ship(docs.sparkSession)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return ordered.select("bucket", "ahead", "doc_id", "text").mapInArrow(_edited, schema)

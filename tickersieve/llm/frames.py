@@ -140,40 +140,44 @@ def documents(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(*columns, *extra).where(F.col("doc_id").isNotNull())
 
 
-def ordered_buckets(docs: DataFrame, parts: int, lookahead: bool) -> DataFrame:
-    """Documents dealt out by ranges of doc_id, one task each, sorted within it.
+def range_cuts(docs: DataFrame, parts: int) -> list[int]:
+    """At most `parts` - 1 ascending numbers that cut the doc_ids into ranges of about equal counts."""
+    if parts < 2:
+        return []
+    found = docs.select("doc_id").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)
+    return sorted({int(c) for c in found})
+
+
+def with_bucket(docs: DataFrame, cuts: list[int]) -> DataFrame:
+    """Adds `bucket`: the number of cuts up to doc_id."""
+    if not cuts:
+        return docs.withColumn("bucket", F.lit(0))
+    edges = F.array(*[F.lit(c).cast("long") for c in cuts])
+    above = F.aggregate(edges, F.lit(0), lambda n, e: n + F.when(F.col("doc_id") >= e, 1).otherwise(0))
+    return docs.withColumn("bucket", above.cast("int"))
+
+
+def ordered_buckets(docs: DataFrame, cuts: list[int], lookahead: bool = False) -> DataFrame:
+    """Documents dealt out by ranges of doc_id, each range in one task and sorted.
 
     Adds `bucket` (ascending with doc_id) and, with `lookahead`, repeats the first document of each
     bucket at the end of the one before (of the first at the end of the last) with `ahead` true.
-    Only the bounds of the ranges, at most 2 * `parts` numbers, reach the driver.
+    Only one number for each bucket reaches the driver.
     """
-    spark = docs.sparkSession
-    ids = docs.select("doc_id")
-    cuts = sorted(set(ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    cuts = [int(c) for c in cuts]
-    bucket = F.lit(0)
-    if cuts:
-        edges = F.array(*[F.lit(c).cast("long") for c in cuts])
-        bucket = F.expr("0")
-        bucket = _bucket(edges)
-    docs = docs.withColumn("bucket", bucket.cast("int"))
+    docs = with_bucket(docs, cuts)
+    keys = ["bucket", "doc_id", "text"]
     if lookahead:
-        firsts = [(r[0], r[1]) for r in docs.groupBy("bucket").agg(F.min("doc_id")).collect()]  # at most `parts` rows
-        firsts.sort()
-        before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
+        spark = docs.sparkSession
+        firsts = sorted(tuple(r) for r in docs.groupBy("bucket").agg(F.min("doc_id")).collect())
         own = docs.withColumn("ahead", F.lit(False))
-        if before:
-            to = spark.createDataFrame(list(before.items()), "doc_id long, to_bucket int")
-            again = docs.join(F.broadcast(to), "doc_id").select(*[c for c in docs.columns if c != "bucket"], F.col("to_bucket").alias("bucket"), F.lit(True).alias("ahead"))
-            own = own.select(*again.columns).unionByName(again)
         docs = own
-    keys = ["bucket", "ahead", "doc_id", "text"] if lookahead else ["bucket", "doc_id", "text"]
-    return docs.repartitionByRange(max(1, len(cuts) + 1), "bucket").sortWithinPartitions(*keys)
-
-
-def _bucket(edges: Column) -> Column:
-    """Number of edges up to doc_id; the sum is over a list of fixed length."""
-    return F.aggregate(edges, F.lit(0), lambda n, e: n + F.when(F.col("doc_id") >= e, 1).otherwise(0))
+        if firsts:
+            before = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
+            to = F.broadcast(spark.createDataFrame(before, "doc_id long, to_bucket int"))
+            again = own.join(to, "doc_id").withColumns({"bucket": F.col("to_bucket"), "ahead": F.lit(True)})
+            docs = own.unionByName(again.select(own.columns))
+        keys.insert(1, "ahead")
+    return docs.repartitionByRange(len(cuts) + 1, "bucket").sortWithinPartitions(*keys)
 
 
 def parts_for(df: DataFrame) -> int:

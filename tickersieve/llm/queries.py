@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickersieve.llm import fingerprint, html, pii
+from tickersieve.llm import fingerprint, frames, html, packing, pii, shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,23 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is; a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = frames.new_path(spark, "shards")
+    shards.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2, folder)
+    return shards.read_digests(spark, folder)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 0, 2048)
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -27,6 +44,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
+    "op4_token_shards": op4_token_shards,
+    "op5_packing": op5_packing,
     "op9_html_extraction": op9_html_extraction,
     "op10_pii": op10_pii,
 }
