@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -63,19 +63,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete a table made by `written` that nothing will read again."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = file.rsplit("/", 1)[0]
-        if "/llm-" in folder:
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by `written` that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/llm-" in f}:
             place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of jobs that are over; it acts on garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_arrow(df: DataFrame, step: Callable[..., Iterator[pa.RecordBatch]], schema: str, **bound) -> DataFrame:
     """mapInArrow over chunks of at most CHUNK_BYTES of text, with `bound` given to each step."""
     ship(df.sparkSession)
