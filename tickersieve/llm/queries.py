@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickersieve.llm import fingerprint, frames, html, jaccard, langid, packing, pii, shards, substring
+from tickersieve.llm import decontaminate, fingerprint, frames, html, jaccard, langid, lines, packing, pii, shards, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +47,19 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, how many were removed, and the sha256 of what is left."""
+    done = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: contaminated or not, by how many items, the best item and its score."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = decontaminate.scored(docs, table(spark, sf_dir, "benchmark"))
+    return done.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "item_id", "score")
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -61,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_shards": op4_token_shards,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_decontamination": op8_decontamination,
     "op9_html_extraction": op9_html_extraction,
     "op10_pii": op10_pii,
 }
