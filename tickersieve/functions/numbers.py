@@ -6,8 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _SPACES = " \t\n\r\f\v\u00a0\ufeff"
-# Digits and exponents are limited so that every match is a finite double.
-_NUMBER = r"[+-]?(?:[0-9]{1,150}\.?[0-9]*|\.[0-9]+)(?:[eE](?:-[0-9]{1,3}|\+?[0-9]{1,2}(?![0-9])))?"
+_NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 _BLANKS = r"[\s\u00a0\ufeff]*"
 _WHOLE_NUMBER = f"^{_BLANKS}({_NUMBER}){_BLANKS}$"
 _NUMBER_PREFIX = f"^{_BLANKS}({_NUMBER})"
@@ -23,8 +22,8 @@ def finite(number: Column) -> Column:
 
 
 def parse_strict(text: Column, blank: str = "null") -> Column:
-    """A number only if the whole trimmed text is one; '' is NULL or 0."""
-    number = F.regexp_extract(text, _WHOLE_NUMBER, 1).try_cast("double")
+    """A finite number only if the whole trimmed text is one; '' is NULL or 0."""
+    number = finite(F.regexp_extract(text, _WHOLE_NUMBER, 1).try_cast("double"))
     return F.when(strip(text) == "", 0.0).otherwise(number) if blank == "zero" else number
 
 
@@ -35,7 +34,7 @@ def parse_loose(text: Column, blank: str = "null") -> Column:
 
 def parse_prefix(text: Column) -> Column:
     """The number a text starts with: '12abc' is 12."""
-    return F.regexp_extract(text.cast("string"), _NUMBER_PREFIX, 1).try_cast("double")
+    return finite(F.regexp_extract(text.cast("string"), _NUMBER_PREFIX, 1).try_cast("double"))
 
 
 def percent_points(number: Column) -> Column:
