@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
@@ -120,6 +121,12 @@ class RiskWeights:
     reg: float | None = 0.8
 
 
+def leading_number(text: str) -> float | None:
+    """The number a setting starts with: '1y' is 1."""
+    found = re.match(r"\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", text)
+    return float(found[1]) if found else None
+
+
 @dataclass(frozen=True)
 class ScreenConfig:
     """Screen settings; every operator takes them as literals folded into its plan."""
@@ -146,9 +153,8 @@ class ScreenConfig:
     @property
     def horizon(self) -> Horizon:
         raw = self.analysis_mode if self.analysis_mode is not None else self.years
-        try:
-            setting = 0.33 if raw is None else float(raw)
-        except ValueError:
+        setting = 0.33 if raw is None else leading_number(str(raw))
+        if setting is None:
             return HORIZONS[-1][1]
         return next((p for bound, p in HORIZONS if setting < bound), HORIZONS[-1][1])
 

@@ -1,11 +1,11 @@
 """Daily bars to one row of technical metrics per symbol.
 
-Bars are `symbol, date, close, adj_close, volume`, one row per symbol and day (see
-`dedupe_bars`), NULL where a value is missing. All lookbacks count valid observations.
+Bars are `symbol, date, close, adj_close, volume` and optionally `ordinal`, NULL where a value
+is missing. All lookbacks count valid observations of distinct days.
 
-Plan: one exchange and one sort on (symbol, date) serve both windows and the final
-aggregate, and a table bucketed and sorted by symbol needs neither. The rows of one symbol
-are bounded by the number of days in the history, so no symbol can outgrow a task.
+Plan: one exchange and one sort on (symbol, date) serve the choice of one row per day, both
+windows and the final aggregate. After that choice the rows of one symbol are bounded by the
+number of days in the history, so no symbol can outgrow a task.
 """
 
 from __future__ import annotations
@@ -31,27 +31,52 @@ VOLUME_DAYS = 63
 
 
 def clean_bars(bars: DataFrame) -> DataFrame:
-    """NaN and infinities become gaps; a missing adj_close column means close is adjusted."""
+    """NaN and infinities become gaps; a missing adj_close column means close is adjusted. An
+    ordinal is kept."""
     present = set(bars.columns)
     adjusted = "adj_close" if "adj_close" in present else "close"
     volume = F.col("volume") if "volume" in present else F.lit(None)
+    kept = ["ordinal"] if "ordinal" in present else []
     return bars.select(
         "symbol",
         F.col("date").cast("date").alias("date"),
         finite(F.col("close").cast("double")).alias("close"),
         finite(F.col(adjusted).cast("double")).alias("adj_close"),
         finite(volume.cast("double")).alias("volume"),
+        *kept,
     )
 
 
+_VALUES = ("close", "adj_close", "volume")
+
+
+def _recency(columns: list[str], order_by: str) -> list[Column]:
+    """What decides between rows of one day: rows with an ordinal before others, then the ordinal,
+    then the values, so that the choice never depends on how rows were dealt out."""
+    ties = [F.coalesce(F.col(v), F.lit(float("-inf"))) for v in _VALUES]
+    if order_by not in columns:
+        return ties
+    return [F.col(order_by).isNotNull(), F.col(order_by), *ties]
+
+
 def dedupe_bars(bars: DataFrame, order_by: str = "ordinal") -> DataFrame:
-    """One row per (symbol, date): the values of the row with the highest ordinal.
+    """One row per (symbol, date): the whole row with the highest ordinal; NULL is the lowest.
 
-    Copies combine on the map side (fixed-width buffers, hash aggregation), so a day
-    repeated any number of times costs one row per map task.
+    Copies combine on the map side, so a day repeated any number of times costs one row per
+    map task.
     """
-    values = ("close", "adj_close", "volume")
-    return bars.groupBy("symbol", "date").agg(*[F.max_by(v, order_by).alias(v) for v in values])
+    newest = F.struct(*_recency(bars.columns, order_by))
+    row = F.max_by(F.struct(*_VALUES), newest).alias("row")
+    return bars.groupBy("symbol", "date").agg(row).select("symbol", "date", "row.*")
+
+
+def last_of_day(bars: DataFrame, order_by: str = "ordinal") -> DataFrame:
+    """As dedupe_bars, on the partitioning and the sort by (symbol, date) that the metrics need
+    anyway. Rows stream through the window; no day is held as a whole."""
+    order = [c.asc_nulls_first() for c in _recency(bars.columns, order_by)]
+    by_day = Window.partitionBy("symbol").orderBy("date", *order)
+    following = F.lead("date").over(by_day)
+    return bars.withColumn("_next", following).where("_next is null or _next != date").drop("_next")
 
 
 def within_history(
@@ -167,8 +192,14 @@ def eod_metrics(
     months: int | None = None,
     source: str = SOURCE_PRICE_JOB,
 ) -> DataFrame:
-    """Price snapshot rows: rounded metrics of every symbol with a valid close, by symbol."""
-    metrics = bar_metrics(within_history(clean_bars(bars), as_of, months)).where("valid > 0")
+    """Price snapshot rows: rounded metrics of every symbol with a valid close, by symbol.
+
+    Repeated days and spellings of a symbol count once: the row with the highest ordinal, if
+    there is such a column.
+    """
+    spelled = clean_bars(bars).withColumn("symbol", normalize_symbol(F.col("symbol")))
+    daily = last_of_day(within_history(spelled.where(F.col("date").isNotNull()), as_of, months))
+    metrics = bar_metrics(daily).where("valid > 0")
 
     def rounded(name: str) -> Column:
         return F.round(F.col(name), 6)

@@ -9,33 +9,66 @@ from pyspark.sql import functions as F
 
 from tickersieve.config import SOURCE_FUND_JOB
 from tickersieve.functions.dates import as_date, epoch_to_date, recent_weekdays
-from tickersieve.functions.numbers import blank_to_null, finite, first_present, truthy
+from tickersieve.functions.numbers import (
+    blank_to_null,
+    finite,
+    first_present,
+    parse_prefix,
+    parse_strict,
+    truthy,
+)
 from tickersieve.functions.symbols import normalize_symbol, to_api_symbol
 from tickersieve.operators.rows import keep_by
 from tickersieve.schemas import FUND_COLUMNS, FUND_TEXT_COLUMNS
 from tickersieve.sources.store import store
 
+# Numbers are read as texts, so that a quoted one is a number too and an odd one costs no record.
 CHART_DDL = (
-    "chart struct<result: array<struct<timestamp: array<bigint>, indicators: struct<quote: "
-    "array<struct<close: array<double>>>>>>, error: struct<code: string, description: string>>"
+    "chart struct<result: array<struct<timestamp: array<string>, indicators: struct<quote: "
+    "array<struct<close: array<string>>>>>>, error: struct<code: string, description: string>>"
 )
-_HISTORY = "array<struct<date: string, close: double, adjClose: double, price: double>>"
+_QUOTE = "date: string, close: string, adjClose: string, price: string"
+_HISTORY = f"array<struct<{_QUOTE}>>"
 _HISTORY_OBJECT_DDL = (
     f"symbol string, historical {_HISTORY}, "
     f"historicalStockList array<struct<symbol: string, historical: {_HISTORY}>>"
 )
 _HISTORY_LIST_DDL = (
     f"array<struct<symbol: string, ticker: string, historical: {_HISTORY}, "
-    "date: string, close: double, adjClose: double, price: double>>"
+    f"{_QUOTE}>>"
 )
+_ROWS = f"array<struct<symbol: string, ticker: string, {_QUOTE}>>"
+_WRAPPED_DDL = f"historical {_ROWS}, data {_ROWS}"
 
 # Fields of a fundamentals record, by snapshot column.
 INFO_FIELDS = (
-    "shortName longName sector industry forwardEps trailingEps forwardPE trailingPE pegRatio "
-    "revenueGrowth earningsGrowth grossMargins operatingMargins profitMargins debtToEquity "
-    "currentRatio quickRatio totalDebt totalCash beta marketCap fiftyTwoWeekHigh fiftyTwoWeekLow "
-    "earningsTimestamp earningsTimestampStart earningsTimestampEnd"
-).split()
+    "shortName",
+    "longName",
+    "sector",
+    "industry",
+    "forwardEps",
+    "trailingEps",
+    "forwardPE",
+    "trailingPE",
+    "pegRatio",
+    "revenueGrowth",
+    "earningsGrowth",
+    "grossMargins",
+    "operatingMargins",
+    "profitMargins",
+    "debtToEquity",
+    "currentRatio",
+    "quickRatio",
+    "totalDebt",
+    "totalCash",
+    "beta",
+    "marketCap",
+    "fiftyTwoWeekHigh",
+    "fiftyTwoWeekLow",
+    "earningsTimestamp",
+    "earningsTimestampStart",
+    "earningsTimestampEnd",
+)
 MAX_ERROR_LENGTH = 220
 
 
@@ -54,7 +87,8 @@ def chart_last_close(charts: DataFrame, json_col: str = "json") -> DataFrame:
         closes.alias("close"), F.col("result.timestamp").alias("time")
     )
     usable = F.filter(
-        F.coalesce(pairs, F.array()), lambda p: finite(p["close"]).isNotNull()
+        F.coalesce(pairs, F.array()),
+        lambda p: parse_strict(p["close"], "zero").isNotNull(),
     )
     last = F.try_element_at(usable, F.lit(-1))
     failure = F.col("failure")
@@ -72,8 +106,10 @@ def chart_last_close(charts: DataFrame, json_col: str = "json") -> DataFrame:
     )
     return parsed.select("symbol", "result", last.alias("last"), error.alias("error")).select(
         normalize_symbol(F.col("symbol")).alias("symbol"),
-        F.when(F.col("error").isNull(), F.col("last.close")).alias("price"),
-        F.when(F.col("error").isNull(), epoch_to_date(F.col("last.time"))).alias("date"),
+        F.when(F.col("error").isNull(), parse_strict(F.col("last.close"), "zero")).alias("price"),
+        F.when(
+            F.col("error").isNull(), epoch_to_date(parse_strict(F.col("last.time")).cast("long"))
+        ).alias("date"),
         "error",
     )
 
@@ -120,7 +156,7 @@ def price_api_latest(responses: DataFrame, json_col: str = "json") -> DataFrame:
         .when(F.col("one.historicalStockList").isNotNull(), listed)
         .when(blank_to_null(F.col("one.symbol")).isNotNull(), single)
     )
-    price = finite(F.coalesce(F.col("close"), F.col("adjClose"), F.col("price")))
+    price = parse_prefix(F.coalesce(F.col("close"), F.col("adjClose"), F.col("price")))
     return (
         parsed.select(F.inline(stocks))
         .where("symbol is not null and symbol != ''")
@@ -129,6 +165,42 @@ def price_api_latest(responses: DataFrame, json_col: str = "json") -> DataFrame:
     )
 
 
+def _quote_rows(responses: DataFrame, json_col: str, wrappers: tuple[str, str]) -> DataFrame:
+    """Rows of responses that are a list or hold one under either name: the other columns of the
+    response, `position` in it, and the row's fields as texts."""
+    text = F.col(json_col)
+    is_list = F.startswith(F.ltrim(text), F.lit("["))
+    wrapped = F.from_json(F.when(~is_list, text), _WRAPPED_DDL)
+    many = F.from_json(F.when(is_list, text), _ROWS)
+    rows = F.coalesce(many, *[wrapped[name] for name in wrappers])
+    others = [c for c in responses.columns if c != json_col]
+    return responses.select(*others, F.posexplode(rows).alias("position", "r"))
+
+
+def light_rows(responses: DataFrame, json_col: str = "json") -> DataFrame:
+    """`symbol, json` responses of the light feed to typed quotes for `light_latest`."""
+    rows = _quote_rows(responses.select("symbol", json_col), json_col, ("historical", "data"))
+    fields = {"price": "price", "close": "close", "adj_close": "adjClose"}
+    return rows.select(
+        "symbol",
+        F.col("r.date").alias("date"),
+        *[parse_prefix(F.col(f"r.{name}")).alias(column) for column, name in fields.items()],
+        F.col("position").cast("long").alias("ordinal"),
+    )
+
+
+def bulk_rows(responses: DataFrame, json_col: str = "json") -> DataFrame:
+    """`date, json` responses of the bulk feed, one per day, to typed quotes for
+    `bulk_latest_date`; a row's symbol may be under `symbol` or `ticker`."""
+    rows = _quote_rows(responses.select("date", json_col), json_col, ("data", "historical"))
+    fields = {"price": "price", "close": "close", "adj_close": "adjClose"}
+    return rows.select(
+        F.coalesce(blank_to_null(F.col("r.symbol")), F.col("r.ticker")).alias("symbol"),
+        F.col("date").cast("date").alias("date"),
+        *[parse_prefix(F.col(f"r.{name}")).alias(column) for column, name in fields.items()],
+    ).where(blank_to_null(F.col("symbol")).isNotNull())
+
+
 def light_latest(quotes: DataFrame) -> DataFrame:
     """Newest quote per symbol; price is the first of price, close, adjClose of that quote."""
     order = [F.col("date").desc_nulls_last()]
