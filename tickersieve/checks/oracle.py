@@ -169,7 +169,8 @@ block(
     "custom_l",
     """select key, name, sector, sub_industry, ordinal from local_l
        union all
-       select key, key, 'Watchlist', sub_industry, ordinal + 1000000000 from shared_l
+       select key, key, 'Watchlist', sub_industry,
+         ordinal - (select min(ordinal) from shared_l) + (select max(ordinal) from local_l) + 1 from shared_l
        where key not in (select key from local_l)""",
     "local_l",
     "shared_l",
@@ -179,7 +180,8 @@ block(
     """select key, name, sector, sub_industry, ordinal, cast(null as boolean) is_custom,
          '섹터 기본값' fundamental_source from listed
        union all
-       select key, name, sector, sub_industry, 1000000000000000 + ordinal, true, '공유 관심종목'
+       select key, name, sector, sub_industry,
+         ordinal - (select min(ordinal) from local_l) + (select max(ordinal) from listed) + 1, true, '공유 관심종목'
        from custom_l where key not in (select key from listed)""",
     "listed",
     "custom_l",
@@ -195,7 +197,7 @@ block(
          round(m.hi, 6) hi, round(m.lo, 6) lo, round(m.pos, 6) pos
        from fund f left join m_p m on m.symbol = f.symbol
        union all
-       select f.key, f.ordinal + 1000000000, coalesce(cast(m.date as varchar), ''), f.price * 1.1,
+       select f.key, f.ordinal + (select max(ordinal) from fund) + 1, coalesce(cast(m.date as varchar), ''), f.price * 1.1,
          round(m.r1, 6), round(m.r3, 6), round(m.r4, 6), round(m.r6, 6),
          round(m.hi, 6), round(m.lo, 6), round(m.pos, 6)
        from fund f left join m_p m on m.symbol = f.symbol where f.size = 29 and f.price is not null""",
@@ -609,6 +611,18 @@ check(
        from lineitem qualify row_number() over (partition by l_suppkey, cast(l_shipdate as date)
          order by l_orderkey * 10 + l_linenumber desc, l_partkey desc) = 1""",
 )
+block(
+    "bars_once",
+    f"""select 's-' || l_suppkey as symbol, cast(l_shipdate as date) as date, l_extendedprice as close,
+         l_extendedprice * 0.97 as adj_close, l_quantity as volume
+       from lineitem where cast(l_shipdate as date) <= {AS_OF} and cast(l_shipdate as date) > date '2000-10-04'
+       qualify row_number() over (partition by l_suppkey, cast(l_shipdate as date)
+         order by (l_partkey % 2 = 0) desc, case when l_partkey % 2 = 0 then l_orderkey end desc nulls last,
+           case when l_partkey % 2 = 0 then l_linenumber end desc nulls last,
+           case when l_partkey % 2 = 0 then l_partkey end desc nulls last,
+           l_extendedprice desc, l_quantity desc) = 1""",
+)
+block("m_once", metrics_sql("bars_once"), "bars_once")
 check(
     "panel_to_long",
     """select 'N' || n as symbol, cast(date as varchar) as date, round(close, 6) as close,
@@ -641,6 +655,23 @@ check(
        from sup qualify row_number() over (partition by symbol order by date desc) = 1""",
     "sup",
 )
+check(
+    "chart_text_numbers",
+    """select upper(replace(symbol, '-', '.')) as symbol, close as price, cast(date as varchar) as date, cast(null as varchar) as error
+       from sup where close is not null and not (day(date) % 5 = 1)
+       qualify row_number() over (partition by symbol order by date desc) = 1""",
+    "sup",
+)
+check(
+    "hist_text_numbers",
+    """select upper(replace(symbol, '-', '.')) as symbol, cast(date as varchar) as date,
+         case when day(date) % 3 = 0 then 7.25 else round(coalesce(close, adj_close, 7.25), 6) end as price
+       from sup qualify row_number() over (partition by symbol order by date desc) = 1""",
+    "sup",
+)
+_LIGHT = """select upper(replace(symbol, '-', '.')) as symbol, round(coalesce(close, adj_close), 6) as price, cast(date as varchar) as date
+       from sup qualify row_number() over (partition by symbol order by sup.date desc) = 1"""
+check("light_json", f"select * from ({_LIGHT}) where price is not null and price <> 0", "sup")
 check(
     "light_latest",
     """select * from (select upper(replace(symbol, '-', '.')) as symbol,
@@ -657,6 +688,12 @@ block(
          and k in (select s_suppkey from supplier where s_acctbal > 5000)""",
     "sup",
 )
+check(
+    "bulk_json",
+    """select upper(replace(symbol, '-', '.')) as symbol, round(price, 6) price, cast(date as varchar) date
+       from bulk_usable where date = (select max(date) from bulk_usable)""",
+    "bulk_usable",
+)
 check(
     "bulk_latest_date",
     """select upper(replace(symbol, '-', '.')) as symbol, round(price, 6) price, cast(date as varchar) date
@@ -712,7 +749,9 @@ check("symbol_norm", "select p_partkey, 'BRK.' || p_partkey || '.B' as symbol, '
 _edge = [("", None, 0.0, None), (" 3 ", 3.0, 3.0, 3.0), ("12%", 12.0, 12.0, 12.0), ("$3,000", 3000.0, 3000.0, None),
          ("1.5", 1.5, 1.5, 1.5), ("1.6", 1.6, 1.6, 1.6), ("-0.05", -0.05, -0.05, -0.05), ("NaN", None, None, None),
          ("1d", None, None, 1.0), ("12abc", None, None, 12.0), (".5", 0.5, 0.5, 0.5), ("2e3", 2000.0, 2000.0, 2000.0),
-         ("-", None, None, None), ("+7.", 7.0, 7.0, 7.0), ("1e5x", None, None, 100000.0)]
+         ("-", None, None, None), ("+7.", 7.0, 7.0, 7.0), ("1e5x", None, None, 100000.0), ("1e100", 1e100, 1e100, 1e100),
+         ("1e300", 1e300, 1e300, 1e300), ("1e300x", None, None, 1e300), ("1e400", None, None, None), ("-1e400x", None, None, None),
+         ("9" * 320, None, None, None), ("1" + "0" * 200, 1e200, 1e200, 1e200), ("1e-320x", None, None, 0.0), ("2E+03", 2000.0, 2000.0, 2000.0)]
 _rows = ", ".join(
     "({}, {})".format(i, ", ".join("cast(null as double)" if v is None else f"cast({v} as double)" for v in e[1:]))
     for i, e in enumerate(_edge))
@@ -758,8 +797,12 @@ check(
 check(
     "universe_symbols",
     """select key as symbol, name, sector, sub_industry, ordinal from listed
-       union all select key, name, sector, sub_industry, ordinal + 1000000000000 from local_l where key not in (select key from listed)
-       union all select key, name, sector, sub_industry, ordinal + 2000000000000 from shared_l
+       union all select key, name, sector, sub_industry,
+         ordinal - (select min(ordinal) from local_l) + (select max(ordinal) from listed) + 1
+         from local_l where key not in (select key from listed)
+       union all select key, name, sector, sub_industry,
+         ordinal - (select min(ordinal) from shared_l) + (select max(ordinal) from listed) + 1
+         + (select max(ordinal) - min(ordinal) + 1 from local_l) from shared_l
          where key not in (select key from listed) and key not in (select key from local_l)""",
     "listed",
     "local_l",
@@ -780,6 +823,22 @@ check(
 check("carry_forward", f"select {CARRIED} from as_util_c", "as_util_c")
 check("universe_refresh", f"select {CARRIED} from refreshed", "refreshed")
 check("watchlist_sync", f"select {CARRIED}, ordinal from synced", "synced")
+check(
+    "snapshot_many_files",
+    """select key as symbol, round(price * 100 + w, 6) as price from (
+         select key, price, unnest([0, 1, 2]) as w, size from fund where price > 0)
+       where w = 0 or w = 1 and size > 45 or w = 2 and size <= 4
+       qualify row_number() over (partition by key order by w desc) = 1""",
+    "fund",
+)
+check(
+    "universe_many_files",
+    """select key as symbol, w as name from (
+         select key, unnest(['a', 'b', 'c']) as w, size from fund)
+       where w = 'c' or w = 'a' and size > 45 or w = 'b' and size <= 4
+       qualify row_number() over (partition by key order by w) = 1""",
+    "fund",
+)
 check(
     "watchlist_append",
     f"""select key as symbol, key as name, 'Watchlist' as sector, sub_industry, '{AT}' as added_at, 'dashboard' as source
@@ -884,6 +943,43 @@ check(
 check("status_filter", "select key as symbol, name, round(price, 6) price from ring where status = 'Overvalued'", "ring")
 check("status_filter_sector", "select key as symbol, name, round(price, 6) price from hring where status = 'Very undervalued'", "hring")
 check("sorted_screen", "select key as symbol, round(pe_now, 6) current_pe from sc", "sc")
+_CLASS = "case when status like '%ndervalued' then 'good' when status = 'Okay' then 'warn' when status = 'Need EPS' then 'gray' else 'bad' end"
+check(
+    "sorted_by_date",
+    """select key as symbol, cast(next_earnings_date as varchar) as next_earnings_date,
+         row_number() over (order by coalesce(cast(next_earnings_date as varchar), ''), ordinal) - 1 as position from sc""",
+    "sc",
+)
+check("sorted_by_text", f"select key as symbol, status, row_number() over (order by {_CLASS} desc, ordinal) - 1 as position from sc", "sc")
+check("sorted_by_flag", "select key as symbol, row_number() over (order by ordinal) - 1 as position from st", "st")
+block("found_e", "select * from st where lower(key) like '%e%' or lower(name) like '%e%' or lower(sector) like '%e%' or lower(sub_industry) like '%e%'", "st")
+model("jude", "found_e")
+check(
+    "sorted_by_number",
+    """select key as symbol, round(down, 6) as drawdown52_high, row_number() over (order by coalesce(down, -999999), ordinal) - 1 as position
+       from (select key, ordinal, case when price <> 0 and hi <> 0 then price / hi - 1 end as down from jude where status = 'Very overvalued')""",
+    "jude",
+)
+model("sring", "found_ring", peers="st")
+check(
+    "screen_status",
+    """select key as symbol, status, round(percentile, 6) pe_percentile, round(score, 6) short_score
+       from sring where key in (select key from ring where status = 'Overvalued')""",
+    "sring", "ring",
+)
+check(
+    "top30_status",
+    f"""select (select count(*) from sc where status = 'Very undervalued') as visible, key as symbol, name, sector, round(price, 6) price,
+          round(score, 6) short_score, round(up, 6) upside, round(peg, 6) peg, days as earnings_days, round(place, 6) range_position,
+          round(mom, 6) return_h from sc where status = 'Very undervalued' {BEST} limit 30""",
+    "sc",
+)
+check(
+    "table_status_sector",
+    f"""select key as symbol, name, round(percentile, 6) pe_percentile, round(up, 6) upside, {STATUS_LABEL} as status_label
+        from hring where status = 'Very undervalued'""",
+    "hring",
+)
 _order = ", ".join(
     f"('{s}', {i})" for i, s in enumerate(
         ["All", "Watchlist", "Communication Services", "Consumer Discretionary", "Consumer Staples", "Energy", "Financials",
@@ -984,9 +1080,22 @@ check(
 )
 check("import_csv", f"select {CARRIED}, sub_industry from mat_blank", "mat_blank")
 check("stock_json_roundtrip", f"select {CARRIED}, ordinal from st", "st")
+check(
+    "state_json_roundtrip",
+    f"""select {CARRIED}, cast(next_earnings_date as varchar) as next_earnings_date, cast(-12.5 as double) as threshold from st""",
+    "st",
+)
 check(
     "prices_csv_roundtrip",
     f"""select key as symbol, price, date, source, '{AT}' as updated_at, {_EXTRAS} from snap_bars""",
     "snap_bars",
 )
+check(
+    "price_job_repeated",
+    f"""select upper(replace(symbol, '-', '.')) as symbol, round(close, 6) as price, cast(date as varchar) as date,
+         'Yahoo EOD via GitHub Actions/yfinance' as source, '{AT}' as updated_at, round(r1, 6) return1m,
+         round(r3, 6) return3m, round(r4, 6) return4m, round(r6, 6) return6m, round(hi, 6) high52,
+         round(lo, 6) low52, round(pos, 6) range52 from m_once where round(close, 6) > 0""",
+    "m_once",
+)
 check("fundamentals_csv_roundtrip", """select symbol, sector, forward_eps as "forwardEps", '' as beta, '' as error from fund""", "fund")

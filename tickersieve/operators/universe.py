@@ -21,30 +21,36 @@ from tickersieve.functions.symbols import normalize_symbol
 from tickersieve.operators.rows import first_per_key, keep_by
 from tickersieve.schemas import RISK_TYPE, STOCK_COLUMNS, STOCK_SCHEMA
 
-# Distance between the ordinals of two merged sources.
-SOURCE_STRIDE = 10**12
-# Ordinals of the user's own stocks start here, after all constituents.
-CUSTOM_ORDINALS = 10**15
+def stacked(*sources: DataFrame) -> DataFrame:
+    """Rows of all sources, with ordinals that put each source behind the ones before it.
 
-
-def union_keep_first(*sources: DataFrame, stride: int = SOURCE_STRIDE) -> DataFrame:
-    """Rows of all sources, one per symbol: the earliest source wins, then the lowest ordinal.
-
-    Blank symbols are dropped. Ordinals are shifted by the stride per source, so that they
-    order the merged rows; use 0 if they do so already.
+    Ordinals are shifted by what the sources before actually use (one narrow aggregate each), so
+    that the order never depends on how large they are. The first source keeps its ordinals.
+    Adds `_source`.
     """
-    merged = None
+    merged, free = None, None
     for rank, source in enumerate(sources):
-        shifted = source.withColumns(
-            {
-                "symbol": normalize_symbol(F.col("symbol")),
-                "ordinal": F.col("ordinal").cast("long") + F.lit(rank * stride),
-                "_source": F.lit(rank),
-            }
-        )
-        merged = shifted if merged is None else merged.unionByName(shifted, allowMissingColumns=True)
+        ordinal = F.col("ordinal").cast("long")
+        bounds = source.agg(F.min(ordinal).alias("low"), F.max(ordinal).alias("high"))
+        if free is None:
+            shifted = ordinal
+            free = bounds.select(F.coalesce("high", F.lit(-1)) + 1).scalar()
+        else:
+            shifted = ordinal - bounds.select("low").scalar() + free
+            free = free + bounds.select(F.coalesce(F.col("high") - F.col("low") + 1, F.lit(0))).scalar()
+        rows = source.withColumns({"ordinal": shifted, "_source": F.lit(rank)})
+        merged = rows if merged is None else merged.unionByName(rows, allowMissingColumns=True)
     if merged is None:
         raise ValueError("at least one source is needed")
+    return merged
+
+
+def union_keep_first(*sources: DataFrame) -> DataFrame:
+    """Rows of all sources, one per symbol: the earliest source wins, then the lowest ordinal.
+
+    Blank symbols are dropped. The ordinals order the merged rows.
+    """
+    merged = stacked(*sources).withColumn("symbol", normalize_symbol(F.col("symbol")))
     named = merged.where(F.col("symbol") != "")
     return keep_by(named, "symbol", F.col("_source").asc(), F.col("ordinal").asc_nulls_last()).drop(
         "_source"
@@ -218,17 +224,11 @@ def refresh_universe(
     the narrow raw rows are shuffled to choose one per symbol; defaults are filled in after
     that and the old table joins on the same partitioning.
     """
-    ordinal = F.col("ordinal").cast("long")
-    behind = F.when(ordinal < CUSTOM_ORDINALS, ordinal + CUSTOM_ORDINALS).otherwise(ordinal)
-    shared = list_rows(shared)
     sources = {"listed": constituents.select(*_ROW)}
     if old is not None:
-        shared = _after(shared, old)
-        sources["old"] = old.where(is_watched()).select(*_ROW).withColumn("ordinal", behind)
-    sources["list"] = shared.withColumn("ordinal", behind)
-    rows = union_keep_first(
-        *[df.withColumn("_origin", F.lit(origin)) for origin, df in sources.items()], stride=0
-    )
+        sources["old"] = old.where(is_watched()).select(*_ROW)
+    sources["list"] = list_rows(shared)
+    rows = union_keep_first(*[df.withColumn("_origin", F.lit(o)) for o, df in sources.items()])
     own = F.col("_origin") != "listed"
     source = F.when(F.col("_origin") == "list", SOURCE_SHARED_LIST)
     stocks = with_sector_defaults(rows).withColumns(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tickersieve.config import ScreenConfig
 from tickersieve.operators.bars import eod_metrics
+from tickersieve.operators.universe import stacked
 from tickersieve.plans.jobs import build_stocks
 
 AS_OF = "2001-11-04"
@@ -129,12 +130,12 @@ def price_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         "size",
         "price",
     )
-    again = once.where("size = 29 and price is not null").withColumns(
-        {
-            "ordinal": F.col("ordinal") + 1000000000,
-            "close": (F.col("price") * 1.1).cast("string"),
-        }
+    again = once.where("size = 29 and price is not null").withColumn(
+        "close", (F.col("price") * 1.1).cast("string")
     )
+    # Behind all other rows.
+    behind = fund(spark, sf_dir).agg(F.max("ordinal") + 1).scalar()
+    again = again.withColumn("ordinal", F.col("ordinal") + behind)
     return once.unionByName(again).drop("size", "price")
 
 
@@ -195,10 +196,8 @@ def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def universe_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Constituents and the two watchlists as one, local entries first."""
-    shift = 10**9
-    local = local_list(spark, sf_dir)
-    shared = shared_list(spark, sf_dir).withColumn("ordinal", F.col("ordinal") + shift)
-    return constituents(spark, sf_dir), local.unionByName(shared)
+    lists = stacked(local_list(spark, sf_dir), shared_list(spark, sf_dir)).drop("_source")
+    return constituents(spark, sf_dir), lists
 
 
 def stocks(

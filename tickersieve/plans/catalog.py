@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,10 +23,11 @@ from tickersieve.operators import bars as bar_ops
 from tickersieve.operators import feeds, snapshots, universe
 from tickersieve.operators.score import score, with_scores, with_valuation
 from tickersieve.operators.peers import with_peer_stats
+from tickersieve.operators.rows import last_per_key
 from tickersieve.plans import bindings as B
-from tickersieve.plans import views
+from tickersieve.plans import jobs, views
 from tickersieve.session import apply_settings
-from tickersieve.sources import files
+from tickersieve.sources import files, state
 from tickersieve.sources.store import new_path, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,13 +149,35 @@ def dedupe_bars(spark, sf_dir):
         F.col("l_extendedprice").alias("close"),
         (F.col("l_extendedprice") * 0.97).alias("adj_close"),
         F.col("l_quantity").alias("volume"),
-        (
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000000 + F.col("l_partkey")
-        ).alias("ordinal"),
+        _line_order().alias("ordinal"),
     )
     return bar_ops.dedupe_bars(lines)
 
 
+def _line_order():
+    """Orders line items; any orderable value can be an ordinal of bars."""
+    return F.struct("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query
+def price_job_repeated(spark, sf_dir):
+    """The price job on line items as repeated bars under two spellings of each symbol, half of
+    them without an ordinal."""
+    spelling = F.when(F.col("l_linenumber") % 2 == 0, F.lit("s-")).otherwise(F.lit(" S."))
+    lines = B.table(spark, sf_dir, "lineitem").select(
+        F.concat(spelling, F.col("l_suppkey")).alias("symbol"),
+        F.to_date("l_shipdate").alias("date"),
+        F.col("l_extendedprice").alias("close"),
+        (F.col("l_extendedprice") * 0.97).alias("adj_close"),
+        F.col("l_quantity").alias("volume"),
+        F.when(F.col("l_partkey") % 2 == 0, _line_order()).alias("ordinal"),
+    )
+    universe_rows = B.table(spark, sf_dir, "supplier").select(F.concat(F.lit("S-"), "s_suppkey").alias("symbol"))
+    path = new_path(spark, "prices")
+    jobs.price_job(lines, universe_rows, path, AT, AS_OF)
+    return snapshots.resolve_price_snapshot(files.read_csv(spark, path)).drop("ordinal")
+
+
 @query
 def panel_to_long(spark, sf_dir):
     """The panel has one group of columns per nation, so its width is fixed."""
@@ -273,6 +296,84 @@ def hist_json_latest(spark, sf_dir):
     return feeds.price_api_latest(responses.select(json.alias("json")))
 
 
+@query
+def chart_text_numbers(spark, sf_dir):
+    """Closes as bare and as quoted numbers, with words in between: no cell costs a record."""
+    cell = lambda x: (
+        F.when(x["close"].isNull(), "null")
+        .when(F.dayofmonth(x["date"]) % 5 == 1, '"n/a"')
+        .when(F.dayofmonth(x["date"]) % 2 == 0, F.concat(F.lit('" '), x["close"].cast("string"), F.lit('"')))
+        .otherwise(x["close"].cast("string"))
+    )
+    time = lambda x: (F.unix_date(x["date"]).cast("long") * 86400).cast("string")
+    text = F.concat(
+        F.lit('{"chart":{"result":[{"timestamp":['),
+        F.array_join(F.transform("h", time), ","),
+        F.lit(']  ,"indicators":{"quote":[{"close":['),
+        F.array_join(F.transform("h", cell), ","),
+        F.lit("]}]}}],\"error\":null}}"),
+    )
+    return feeds.chart_last_close(_histories(spark, sf_dir).select("symbol", text.alias("json")))
+
+
+@query
+def hist_text_numbers(spark, sf_dir):
+    last = F.element_at("h", -1)
+    quoted = lambda x: F.concat(F.lit('"'), x.cast("string"), F.lit('"'))
+    close = (
+        F.when(F.dayofmonth(last["date"]) % 3 == 0, '"7.25 USD"')
+        .when(last["close"].isNull(), F.lit("null"))
+        .otherwise(quoted(last["close"]))
+    )
+    text = F.concat(
+        F.lit('{"symbol":"'), "symbol", F.lit('","historical":[{"date":"'), last["date"].cast("string"),
+        F.lit('","close":'), close,
+        F.lit(',"adjClose":'), F.coalesce(quoted(last["adj_close"]), F.lit("null")),
+        F.lit(',"price":"7.25"}]}'),
+    )
+    return feeds.price_api_latest(_histories(spark, sf_dir).select(text.alias("json")))
+
+
+def _rows_json(wrap, rows):
+    """A list of rows bare or under one of the two names, by a number."""
+    text = F.to_json(rows)
+    return (
+        F.when(wrap % 3 == 0, text)
+        .when(wrap % 3 == 1, F.concat(F.lit('{"historical":'), text, F.lit("}")))
+        .otherwise(F.concat(F.lit('{"data":'), text, F.lit("}")))
+    )
+
+
+@query
+def light_json(spark, sf_dir):
+    """One response per symbol in the three wrappings; every other price is quoted."""
+    row = lambda x: F.struct(
+        x["date"].cast("string").alias("date"),
+        x["close"].alias("close"),
+        x["adj_close"].cast("string").alias("adjClose"),
+        F.when(F.dayofmonth(x["date"]) % 2 == 0, x["close"].cast("string")).alias("price"),
+    )
+    responses = _histories(spark, sf_dir).select("symbol", _rows_json(F.col("key"), F.transform("h", row)).alias("json"))
+    return feeds.light_latest(feeds.light_rows(responses))
+
+
+@query
+def bulk_json(spark, sf_dir):
+    """One response per day and 16 suppliers, in the three wrappings, under either symbol name."""
+    key = F.substring("symbol", 3, 20).cast("long")
+    row = F.struct(
+        F.when(key % 2 == 0, F.col("symbol")).alias("symbol"),
+        F.col("symbol").alias("ticker"),
+        F.col("close").cast("string").alias("close"),
+        F.col("adj_close").alias("adjClose"),
+    )
+    days = B.bars(spark, sf_dir).groupBy("date", F.floor(key / 16).alias("part")).agg(F.collect_list(row).alias("rows"))
+    responses = days.select("date", _rows_json(F.dayofmonth("date"), F.col("rows")).alias("json"))
+    rich = B.table(spark, sf_dir, "supplier").where("s_acctbal > 5000")
+    wanted = rich.select(F.concat(F.lit("S."), F.col("s_suppkey")).alias("symbol"))
+    return feeds.bulk_latest_date(feeds.bulk_rows(responses), wanted, AS_OF)
+
+
 def _quotes(spark, sf_dir, bars=B.bars) -> DataFrame:
     return bars(spark, sf_dir).select(
         "symbol",
@@ -363,6 +464,7 @@ def symbol_norm(spark, sf_dir):
 def num_parse(spark, sf_dir):
     # Edge texts, one per remainder.
     texts = ["", " 3 ", "12%", "$3,000", "1.5", "1.6", "-0.05", "NaN", "1d", "12abc", ".5", "2e3", "-", "+7.", "1e5x"]
+    texts += ["1e100", "1e300", "1e300x", "1e400", "-1e400x", "9" * 320, "1" + "0" * 200, "1e-320x", "2E+03"]
     text = F.element_at(
         F.array(*[F.lit(t) for t in texts]), (F.col("p_partkey") % len(texts)).cast("int") + 1
     )
@@ -420,6 +522,39 @@ def recent_weekdays(spark, sf_dir):
 # Universe -----------------------------------------------------------------------------------
 
 
+def _three_files(spark, tables: list[DataFrame]) -> str:
+    """Files of very different sizes in one folder; the last one in order is the smallest."""
+    path = new_path(spark, "files")
+    for number, table in enumerate(tables):
+        table.coalesce(1).write.csv(f"{path}/part={number}", header=True)
+    return f"{path}/*"
+
+
+@query
+def snapshot_many_files(spark, sf_dir):
+    """Last wins over files without an ordinal column, whatever their sizes."""
+    f = B.fund(spark, sf_dir).where("price > 0")
+    tables = [
+        rows.select("symbol", (F.col("price") * 100 + w).alias("close"))
+        for w, rows in enumerate([f, f.where("size > 45"), f.where("size <= 4")])
+    ]
+    raw = files.read_csv(spark, _three_files(spark, tables))
+    latest = last_per_key(snapshots.resolve_price_snapshot(raw), "symbol")
+    return latest.select("symbol", "price")
+
+
+@query
+def universe_many_files(spark, sf_dir):
+    """Keep-first over files without an ordinal column, whatever their sizes."""
+    f = B.fund(spark, sf_dir)
+    tables = [
+        rows.select(F.col("symbol").alias("Symbol"), F.lit(w).alias("Security"), F.col("sector").alias("GICS Sector"), F.col("sub_industry").alias("GICS Sub-Industry"))
+        for w, rows in zip("abc", [f.where("size > 45"), f.where("size <= 4"), f])
+    ]
+    rows = files.read_constituents(spark, _three_files(spark, tables))
+    return universe.union_keep_first(rows).select("symbol", "name")
+
+
 @query
 def universe_symbols(spark, sf_dir):
     return universe.union_keep_first(
@@ -804,6 +939,61 @@ def sorted_screen(spark, sf_dir):
     return views.sorted_screen(stocks(spark, sf_dir), cfg, AS_OF).select("symbol", "current_pe")
 
 
+def _positions(spark, sf_dir, cfg: ScreenConfig, *columns: str) -> DataFrame:
+    """The whole sorted list with each row's place in it: rows before its part of the sorted,
+    written table, of which there is one number for each part, plus its place there."""
+    scored_rows = views.screen(stocks(spark, sf_dir), cfg, AS_OF)
+    ordered = scored_rows.orderBy(*views.sort_columns(scored_rows, cfg)).select("symbol", *columns)
+    numbered = store(ordered.withColumn("n", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("n", 33)
+    parts = numbered.groupBy(part.alias("part")).agg(F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select("part", before.alias("before"))
+    placed = numbered.withColumn("part", part).join(starts, "part")
+    return placed.select("symbol", *columns, (F.col("before") + F.col("n").bitwiseAND((1 << 33) - 1)).alias("position"))
+
+
+@query
+def sorted_by_date(spark, sf_dir):
+    return _positions(spark, sf_dir, replace(CFG, sort_key="nextEarningsDate"), "next_earnings_date")
+
+
+@query
+def sorted_by_text(spark, sf_dir):
+    cfg = replace(CFG, sort_key="statusClass", sort_descending=True)
+    return _positions(spark, sf_dir, cfg, "status")
+
+
+@query
+def sorted_by_flag(spark, sf_dir):
+    """Flags are all equal as sort keys, so the list stays in input order."""
+    return _positions(spark, sf_dir, replace(CFG, sort_key="isCustom", sort_descending=True))
+
+
+@query
+def sorted_by_number(spark, sf_dir):
+    cfg = replace(CFG, sort_key="drawdown52High", search="e", status_filter="Very overvalued")
+    return _positions(spark, sf_dir, cfg, "drawdown52_high")
+
+
+@query
+def screen_status(spark, sf_dir):
+    """Judged among the rows found, scored among all."""
+    cfg = replace(CFG, search="ring", status_filter="Overvalued")
+    return views.screen(stocks(spark, sf_dir), cfg, AS_OF).select("symbol", "status", "pe_percentile", "short_score")
+
+
+@query
+def top30_status(spark, sf_dir):
+    return views.compact_list(stocks(spark, sf_dir), replace(CFG, status_filter="Very undervalued"), AS_OF)
+
+
+@query
+def table_status_sector(spark, sf_dir):
+    cfg = replace(CFG, selected_sector="Health Care", search="ring", status_filter="Very undervalued")
+    return views.screen_table(stocks(spark, sf_dir), cfg, AS_OF).select("symbol", "name", "pe_percentile", "upside", "status_label")
+
+
 @query
 def sector_counts(spark, sf_dir):
     return views.sector_counts(stocks(spark, sf_dir))
@@ -943,6 +1133,20 @@ def stock_json_roundtrip(spark, sf_dir):
     return files.read_stocks(spark, path).select(*_CARRIED, "ordinal")
 
 
+@query
+def state_json_roundtrip(spark, sf_dir):
+    """Stocks and settings in one document under the reference's names, and back."""
+    path = new_path(spark, "state")
+    cfg = replace(CFG, analysis_mode="1y", overvalued_threshold=-12.5)
+    state.write_state(stocks(spark, sf_dir), cfg, path)
+    read, settings = state.read_state_parts(spark, path)
+    known, unknown = state.settings_of(settings)
+    if known != cfg or unknown:
+        raise ValueError(f"settings were not kept: {known}, {unknown}")
+    rows = read.withColumn("threshold", F.lit(known.overvalued_threshold))
+    return rows.select(*_CARRIED, "next_earnings_date", "threshold")
+
+
 @query
 def prices_csv_roundtrip(spark, sf_dir):
     path = new_path(spark, "prices")

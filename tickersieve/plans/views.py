@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,47 +50,46 @@ def with_status(stocks: DataFrame, cfg: ScreenConfig, as_of: Day) -> DataFrame:
 
 
 def screen(stocks: DataFrame, cfg: ScreenConfig, as_of: Day) -> DataFrame:
-    """Visible rows, scored among the whole universe or the selected sector."""
-    rows = with_status(stocks, cfg, as_of)
-    unfiltered = not cfg.search.strip() and cfg.status_filter == ALL
-    peers = None if unfiltered else in_sector(stocks, cfg.selected_sector)
-    return score(rows, cfg, as_of, peers=peers)
-
-
-# Stock columns under the names that the sort keys use.
-_SORT_ALIASES = {
-    "subIndustry": "sub_industry",
-    "forwardEPS": "forward_eps",
-    "epsGrowth": "eps_growth",
-    "revGrowth": "rev_growth",
-    "grossMargin": "gross_margin",
-    "opMargin": "op_margin",
-    "exitPE": "exit_pe",
-    "discountRate": "discount_rate",
-    "currentPE": "current_pe",
-    "sectorPremium": "sector_premium",
-    "requiredGrowth": "required_growth",
-    "growthGap": "growth_gap",
-    "pePercentile": "pe_percentile",
-    "returnH": "return_h",
-    "bearFV": "bear_fv",
-    "baseFV": "base_fv",
-    "bullFV": "bull_fv",
-    "riskScore": "risk_score",
-    "shortScore": "short_score",
-    "range52": "range_position",
-    "earningsDays": "earnings_days",
-}
+    """Visible rows, scored among the whole universe or the selected sector.
+
+    A status filter judges rows among the same peers, so that one scoring serves both, unless
+    a search in the whole universe restricts the judging to the rows it finds.
+    """
+    rows = searched(stocks, cfg)
+    no_search = not cfg.search.strip()
+    peers = None if no_search else in_sector(stocks, cfg.selected_sector)
+    if cfg.status_filter == ALL:
+        return score(rows, cfg, as_of, peers=peers)
+    if no_search or cfg.selected_sector != ALL:
+        scored = score(rows, cfg, as_of, peers=peers)
+        return scored.where(F.col("status") == cfg.status_filter)
+    wanted = store(with_status(stocks, cfg, as_of).select("symbol"), "status")
+    return score(rows.join(wanted, "symbol", "left_semi"), cfg, as_of, peers=peers)
+
+
+def column_name(sort_key: str) -> str:
+    """The column of a sort key such as `forwardEPS`."""
+    if sort_key == "range52":
+        return "range_position"
+    return re.sub(r"(?<=[a-z0-9])([A-Z]+)", r"_\1", sort_key).lower()
 
 
 def sort_columns(scored: DataFrame, cfg: ScreenConfig) -> list[Column]:
-    """Order of the visible list: texts by locale, missing numbers as a very low one, then
-    input order for ties."""
-    name = _SORT_ALIASES.get(cfg.sort_key, cfg.sort_key)
-    if isinstance(scored.schema[name].dataType, T.StringType):
-        key = F.collate(F.coalesce(F.col(name), F.lit("")), "UNICODE")
+    """Order of the visible list: texts and dates by locale, missing numbers as a very low one,
+    then input order for ties. Flags and nested values count as missing numbers."""
+    name = column_name(cfg.sort_key)
+    if name == "status_class":
+        kind, value = T.StringType(), S.status_class(F.col("status"))
+    elif name in scored.columns:
+        kind, value = scored.schema[name].dataType, F.col(name)
+    else:
+        raise ValueError(f"no column to sort by: {cfg.sort_key}")
+    if isinstance(kind, (T.StringType, T.DateType)):
+        key = F.collate(F.coalesce(value.cast("string"), F.lit("")), "UNICODE")
+    elif isinstance(kind, T.NumericType):
+        key = F.coalesce(value.cast("double"), F.lit(_MISSING_SORTS_AS))
     else:
-        key = F.coalesce(F.col(name).cast("double"), F.lit(_MISSING_SORTS_AS))
+        key = F.lit(_MISSING_SORTS_AS)
     return [key.desc() if cfg.sort_descending else key.asc(), F.col("ordinal").asc()]
 
 
@@ -229,7 +229,11 @@ def risk_alerts(stocks: DataFrame, cfg: ScreenConfig, as_of: Day, k: int = 4) ->
 def compact_list(stocks: DataFrame, cfg: ScreenConfig, as_of: Day, k: int = 30) -> DataFrame:
     """Top rows with the number of visible ones."""
     scored = screen(stocks, cfg, as_of)
-    visible = with_status(stocks, cfg, as_of).agg(F.count(F.lit(1)).alias("visible")).scalar()
+    if cfg.status_filter != ALL:
+        # Counted from written scores; counting the plan would score a second time.
+        scored = store(scored, "screen")
+    counted = searched(stocks, cfg) if cfg.status_filter == ALL else scored
+    visible = counted.agg(F.count(F.lit(1)).alias("visible")).scalar()
     return best(scored, cfg, k).select(
         visible.alias("visible"),
         "symbol",
@@ -290,7 +294,7 @@ def watchlist_top(stocks: DataFrame, cfg: ScreenConfig, as_of: Day, k: int = 10)
 def summary_cards(stocks: DataFrame, cfg: ScreenConfig, as_of: Day) -> DataFrame:
     """One row of figures over all visible stocks."""
     full = screen(stocks, cfg, as_of)
-    order = [c for c in full.columns if c == _SORT_ALIASES.get(cfg.sort_key, cfg.sort_key)]
+    order = [c for c in full.columns if c == column_name(cfg.sort_key)]
     figures_need = (
         "symbol",
         "ordinal",

@@ -8,7 +8,7 @@ from __future__ import annotations
 import logging
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickersieve.config import SHARED_LIST_LABEL, WATCHLIST_SECTOR
@@ -45,8 +45,8 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
     """CSV with a header as text columns; `""` is a quote inside quotes, blank rows are dropped.
 
     `multi_line` allows line breaks inside quotes, but such a file cannot be split; leave it
-    off for big files. Adds `ordinal`, the position of a row in its file, unless the file has
-    such a column.
+    off for big files. Adds `ordinal`, which orders rows by file path and position in the file,
+    unless the file has such a column.
     """
     df = spark.read.csv(
         path,
@@ -61,18 +61,43 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
         emptyValue="",
         mode="PERMISSIVE",
     )
-    cells = [F.col(f"`{c}`") for c in df.columns]
+    names = df.columns
+    numbered = find_column(df, "ordinal") is None
+    if numbered:
+        df = with_position(df, path, "_position")
+    cells = [F.col(f"`{c}`") for c in names]
     clean = df.select(
-        *[F.coalesce(F.translate(c, "\r", ""), F.lit("")).alias(n) for c, n in zip(cells, df.columns)]
+        *[F.coalesce(F.translate(c, "\r", ""), F.lit("")).alias(n) for c, n in zip(cells, names)],
+        *[F.col("_position").alias("ordinal")] * numbered,
     )
     filled = F.lit(False)
-    for name in clean.columns:
+    for name in names:
         filled = filled | (strip(F.col(f"`{name}`")) != "")
-    if find_column(clean, "ordinal") is None:
-        clean = clean.withColumn("ordinal", F.monotonically_increasing_id())
     return clean.where(filled)
 
 
+# Bits of a position that number rows within a task, and the bytes of input that share one number
+# above them; no less than a file split has.
+_ROW_BITS, _BLOCK_BYTES = 33, 1 << 18
+
+
+def with_position(df: DataFrame, path: str, name: str) -> DataFrame:
+    """Adds a number that orders the rows of a file source by file path, place of the split in
+    the file, and row; Spark itself packs files into tasks by size. Only the files' listing is
+    read besides."""
+    files = df.sparkSession.read.format("binaryFile").load(path)
+    blocks = F.ceil(F.col("length") / _BLOCK_BYTES) + 1
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select(F.col("_metadata.file_path").alias("_file"), blocks.alias("_blocks")).select(
+        "_file", F.coalesce(F.sum("_blocks").over(earlier), F.lit(0)).alias("_start")
+    )
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    block = F.floor(F.col("_metadata.file_block_start") / _BLOCK_BYTES)
+    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), block.alias("_block"), row.alias("_row"))
+    position = F.shiftleft((F.col("_start") + F.col("_block")).cast("long"), _ROW_BITS) + F.col("_row")
+    return placed.join(starts, "_file").withColumn(name, position).drop("_file", "_block", "_row", "_start")
+
+
 def _ordinal(raw: DataFrame) -> Column:
     return column_or_null(raw, "ordinal").cast("long")
 
