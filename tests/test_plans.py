@@ -1,8 +1,10 @@
 """What the plans must and must not contain."""
 
 import re
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from tickersieve.operators.bars import bar_metrics, clean_bars, eod_metrics
 from tickersieve.operators.score import score
@@ -56,6 +58,34 @@ def test_ranks_use_no_single_task_over_stocks(spark, sf_dir, no_broadcast):
             assert "coarse" in line
 
 
+def test_one_group_of_peers_needs_no_nested_loop(spark, sf_dir, no_broadcast):
+    text = plan(score(catalog.stocks(spark, sf_dir), B.CONFIG, B.AS_OF))
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    # What meets in one task are coarse bins and single figures.
+    for line in text.splitlines():
+        if "Window [" in line and "coarse" not in line:
+            assert "fine" in line or "current_pe" in line
+
+
+def test_filtered_screens_score_once(spark, sf_dir, no_broadcast):
+    stocks = catalog.stocks(spark, sf_dir)
+    plain = plan(views.screen(stocks, B.CONFIG, B.AS_OF)).count("SortMergeJoin")
+    filtered = plan(views.screen(stocks, replace(B.CONFIG, status_filter="Okay"), B.AS_OF)).count("SortMergeJoin")
+    assert filtered == plain
+    sector = replace(B.CONFIG, selected_sector="Energy", search="r")
+    judged = replace(sector, status_filter="Okay")
+    assert plan(views.screen(stocks, judged, B.AS_OF)).count("SortMergeJoin") == plan(views.screen(stocks, sector, B.AS_OF)).count("SortMergeJoin")
+    found = replace(B.CONFIG, search="r", status_filter="Okay")
+    both = replace(found, status_filter="All")
+    assert plan(views.screen(stocks, found, B.AS_OF)).count("SortMergeJoin") <= plan(views.screen(stocks, both, B.AS_OF)).count("SortMergeJoin") + 2  # the semi join, under both readers of the rows
+
+
+def test_the_price_job_shuffles_bars_once(spark, sf_dir, no_broadcast):
+    text = plan(eod_metrics(B.bars_short(spark, sf_dir).withColumn("ordinal", F.lit(1)).repartition(3), "now"))
+    after = text[: text.index("RoundRobin")] if "RoundRobin" in text else text
+    assert len(re.findall(r"Exchange hashpartitioning\(symbol", after)) == 1
+
+
 def test_top_lists_do_not_sort_everything(spark, sf_dir):
     text = plan(views.extremes_top(catalog.stocks(spark, sf_dir), B.CONFIG, B.AS_OF))
     assert "TakeOrderedAndProject" in text

@@ -80,12 +80,11 @@ def brute(stock, peers):
     return own, statistics.median(everyone) if everyone else None, percentile
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 3])
 @pytest.mark.parametrize("peer_by", [None, "sector"])
-def test_peer_stats(spark, hot_rows, peer_by):
+def test_peer_stats(spark, peer_by):
     data = stock_rows()
     df = spark.createDataFrame(data, "symbol string, sector string, price double, forward_eps double").repartition(7)
-    out = with_peer_stats(df, peer_by=peer_by, hot_rows=hot_rows)
+    out = with_peer_stats(df, peer_by=peer_by)
     got = {r["symbol"]: (r["current_pe"], r["median_pe"], r["pe_percentile"]) for r in out.collect()}
     assert len(got) == len(data)
     for s in data:
@@ -93,13 +92,12 @@ def test_peer_stats(spark, hot_rows, peer_by):
         assert got[s[0]] == pytest.approx(brute(s, peers)), s
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 3])
-def test_other_peers(spark, hot_rows):
+def test_other_peers(spark):
     data = stock_rows()
     schema = "symbol string, sector string, price double, forward_eps double"
     peers = [p for p in data if p[1] == "hot"]
     shown = [s for s in data if s[1] != "hot"] + data[:9]
-    out = with_peer_stats(spark.createDataFrame(shown, schema), spark.createDataFrame(peers, schema), hot_rows=hot_rows)
+    out = with_peer_stats(spark.createDataFrame(shown, schema), spark.createDataFrame(peers, schema))
     got = {r["symbol"]: (r["current_pe"], r["median_pe"], r["pe_percentile"]) for r in out.collect()}
     for s in shown:
         assert got[s[0]] == pytest.approx(brute(s, peers)), s

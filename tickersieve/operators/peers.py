@@ -6,12 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickersieve.functions.valuation import current_pe
-from tickersieve.operators.ranking import (
-    HOT_VALUE_ROWS,
-    BinOffsets,
-    attach_per_value,
-    value_counts,
-)
+from tickersieve.operators.ranking import BinOffsets, attach_per_value, value_counts
 
 # Peers outside this open interval do not count for the percentile.
 PERCENTILE_RANGE = (0.0, 500.0)
@@ -22,7 +17,6 @@ def with_peer_stats(
     stocks: DataFrame,
     peers: DataFrame | None = None,
     peer_by: str | None = None,
-    hot_rows: int = HOT_VALUE_ROWS,
 ) -> DataFrame:
     """Add `current_pe`, `median_pe` and `pe_percentile`.
 
@@ -48,8 +42,14 @@ def with_peer_stats(
     offsets = BinOffsets(
         counts, "_peer", eligible=(pe > low) & (pe < high), too_low=pe <= low
     )
-    # The median joins the table of coarse bins, the smallest one that reaches every value.
-    coarse = offsets.coarse.join(offsets.medians("current_pe", "median_pe"), "_peer", "left")
+    # The median joins the table of coarse bins, the smallest one that reaches every value. For
+    # one group of all peers it is a scalar: a join on a constant would lose its key.
+    medians = offsets.medians("current_pe", "median_pe")
+    if peer_by is None:
+        only = medians.agg(F.max("median_pe").alias("median_pe")).scalar()
+        coarse = offsets.coarse.withColumn("median_pe", only)
+    else:
+        coarse = offsets.coarse.join(medians, "_peer", "left")
     at_or_below = (
         F.when(pe <= low, F.lit(0))
         .when(pe >= high, F.col("eligible"))
@@ -58,11 +58,9 @@ def with_peer_stats(
     ranks = offsets.ranked(offsets.bins(coarse), "current_pe").select(
         "_peer",
         "current_pe",
-        "n",
         "median_pe",
         F.when(F.col("eligible") >= MIN_PEERS, at_or_below / F.col("eligible")).alias(
             "pe_percentile"
         ),
     )
-    joined = attach_per_value(rows, ranks, counts, "_peer", "current_pe", "symbol", hot_rows)
-    return joined.drop("_peer")
+    return attach_per_value(rows, ranks, "_peer", "current_pe", "symbol").drop("_peer")

@@ -20,10 +20,6 @@ from pyspark.sql import functions as F
 COARSE_PER_DOUBLING = 1024.0
 FINE_PER_COARSE = 65536.0
 
-# A value held by at least this many rows is spread over several tasks when joined back.
-HOT_VALUE_ROWS = 1_000_000
-HOT_VALUE_SALTS = 64
-
 
 def _bins(value: Column) -> tuple[Column, Column]:
     """Bins of a value; never NULL, which spares the joins on them a filter."""
@@ -127,31 +123,17 @@ def median_of(df: DataFrame, group: str, value: str, name: str = "median") -> Da
     return BinOffsets(value_counts(df, group, value), group).medians(value, name)
 
 
-def attach_per_value(
-    rows: DataFrame,
-    ranks: DataFrame,
-    counts: DataFrame,
-    group: str,
-    value: str,
-    spread: str,
-    hot_rows: int = HOT_VALUE_ROWS,
-) -> DataFrame:
-    """Left join `ranks` (one row per group and value, with `n`) onto rows, which may repeat
-    a value.
-
-    Values with many rows are marked by a broadcast of at most rows/hot_rows entries and
-    spread over salts; rows without a value get keys that match nothing and spread evenly.
+def attach_per_value(rows: DataFrame, ranks: DataFrame, group: str, value: str, spread: str) -> DataFrame:
+    """Left join `ranks` (one row per group and value) onto rows, which may repeat a value.
+
+    Both sides are shuffled by the join itself, so that adaptive execution splits a value that
+    very many rows share. Rows without a value get keys that match nothing and spread evenly.
     """
-    hot = counts.where(F.col("n") >= hot_rows).select(group, value, F.lit(True).alias("_hot"))
-    fan = F.when(F.col("n") >= hot_rows, HOT_VALUE_SALTS).otherwise(1)
-    right = ranks.withColumn("_salt", F.explode(F.sequence(F.lit(0), fan - 1)))
-    digest = F.hash(spread)
-    marked = rows.join(F.broadcast(hot), [group, value], "left").withColumn(
-        "_salt",
-        F.when(F.col(value).isNull(), -1 - F.pmod(digest, F.lit(1_000_000)))
-        .when(F.col("_hot"), F.pmod(digest, F.lit(HOT_VALUE_SALTS)))
-        .otherwise(0),
+    keyed = rows.withColumns(
+        {
+            "_key": F.coalesce(F.col(value), F.lit(0.0)),
+            "_salt": F.when(F.col(value).isNull(), -1 - F.pmod(F.hash(spread), F.lit(1_000_000))).otherwise(0),
+        }
     )
-    keyed = marked.withColumn("_key", F.coalesce(F.col(value), F.lit(0.0)))
-    right = right.drop("n").withColumnRenamed(value, "_key")
-    return keyed.join(right, [group, "_key", "_salt"], "left").drop("_hot", "_key", "_salt")
+    right = ranks.withColumnRenamed(value, "_key").withColumn("_salt", F.lit(0))
+    return keyed.join(right, [group, "_key", "_salt"], "left").drop("_key", "_salt")

@@ -307,10 +307,14 @@ def summary_cards(stocks: DataFrame, cfg: ScreenConfig, as_of: Day) -> DataFrame
     )
     scored = store(full.select(*dict.fromkeys((*figures_need, *order))), "visible-scores")
 
-    def median(value: str) -> Column:
-        rows = scored.select(F.lit("all").alias("g"), value)
-        # An aggregate without groups has one row even if there is nothing to rank.
-        return median_of(rows, "g", value).agg(F.max("median").alias(value)).scalar()
+    # Both medians from one ranking, with the figure's name as the group.
+    values = ("current_pe", "upside")
+    figure_rows = F.array(*[F.struct(F.lit(v).alias("figure"), F.col(v).alias("value")) for v in values])
+    ranked = median_of(scored.select(F.inline(figure_rows)), "figure", "value")
+    # An aggregate without groups has one row even if there is nothing to rank.
+    medians = ranked.agg(
+        F.struct(*[F.max(F.when(F.col("figure") == v, F.col("median"))).alias(v) for v in values]).alias("m")
+    ).scalar()
 
     # One scalar per leader, so that each is worked out once.
     top = best(scored, cfg, 1).select(F.struct("symbol", "short_score")).scalar()
@@ -324,8 +328,8 @@ def summary_cards(stocks: DataFrame, cfg: ScreenConfig, as_of: Day) -> DataFrame
     )
     return figures.select(
         "n",
-        median("current_pe").alias("median_pe"),
-        median("upside").alias("median_upside"),
+        medians["current_pe"].alias("median_pe"),
+        medians["upside"].alias("median_upside"),
         "overvalued_share",
         "high_risk_share",
         "earnings_soon",
