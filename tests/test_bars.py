@@ -108,7 +108,7 @@ def test_clean_bars(spark):
 def test_eod_metrics_shape(spark):
     series = {"brk-b": [1.0, 2.0], "none": [None]}
     out = ops.eod_metrics(frame(spark, series), "now", source="test")
-    assert out.columns == PRICE_COLUMNS
+    assert out.columns == list(PRICE_COLUMNS)
     row = out.collect()
     assert len(row) == 1 and (row[0]["symbol"], row[0]["yahooSymbol"]) == ("BRK.B", "BRK-B")
     assert row[0]["updatedAt"] == "now" and row[0]["source"] == "test"

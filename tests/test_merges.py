@@ -234,7 +234,7 @@ def test_job_files(spark, tmp_path):
     info = spark.createDataFrame([("a", '{"forwardEps": 2}')], "symbol string, json string")
     jobs.fundamentals_job(info, str(tmp_path / "fund"), "now")
     fund = files.read_csv(spark, str(tmp_path / "fund"))
-    assert fund.columns[: len(FUND_COLUMNS)] == FUND_COLUMNS and by_symbol(fund)["A"]["forwardEps"] == "2.0"
+    assert fund.columns[: len(FUND_COLUMNS)] == list(FUND_COLUMNS) and by_symbol(fund)["A"]["forwardEps"] == "2.0"
     added = universe.watchlist_additions(raw(spark, ("n", "", "", "", 1)), raw(spark), "t", "s")
     files.append_watchlist(added, str(tmp_path / "shared"))
     files.append_watchlist(added.withColumn("symbol", F.lit("M")), str(tmp_path / "shared"))

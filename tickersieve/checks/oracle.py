@@ -708,9 +708,21 @@ def _ok(expression: str, alias: str) -> str:
     return f'case when {_bad} then null else {expression} end as "{alias}"'
 
 
-_null = {c: f'cast(null as double) as "{c}"' for c in (
-    "trailingPE revenueGrowth earningsGrowth operatingMargins profitMargins debtToEquity currentRatio "
-    "quickRatio totalDebt totalCash fiftyTwoWeekHigh fiftyTwoWeekLow").split()}
+_EMPTY_FIELDS = (
+    "trailingPE",
+    "revenueGrowth",
+    "earningsGrowth",
+    "operatingMargins",
+    "profitMargins",
+    "debtToEquity",
+    "currentRatio",
+    "quickRatio",
+    "totalDebt",
+    "totalCash",
+    "fiftyTwoWeekHigh",
+    "fiftyTwoWeekLow",
+)
+_null = {c: f'cast(null as double) as "{c}"' for c in _EMPTY_FIELDS}
 check(
     "fund_from_json",
     f"""select key as symbol, replace(key, '.', '-') as "yahooSymbol",

@@ -84,6 +84,7 @@ SOURCE_SHARED_LIST = "공유 관심종목"
 SOURCE_MANUAL_INPUT = "수동 입력"
 SHARED_LIST_LABEL = "관심종목"
 
+# Texts shown where there is nothing else to say, and for flags.
 DEFAULT_CHIP = "추가 확인 필요"
 TRAP_TEXT = "Value Trap?"
 HIGH_HOPES_TEXT = "기대 높음"

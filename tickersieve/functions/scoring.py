@@ -1,5 +1,7 @@
 """Component scores, factor grades, reasons and display buckets."""
 
+# The thresholds, steps and texts in this module are fixed values of the screen.
+
 from __future__ import annotations
 
 from pyspark.sql import Column

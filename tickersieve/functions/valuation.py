@@ -153,6 +153,7 @@ def confidence(
     return total
 
 
+# Thresholds and sub-scores of the four risk ladders.
 def balance_risk(debt_to_equity: Column) -> Column:
     x = debt_to_equity
     return steps(

@@ -55,16 +55,70 @@ STOCK_COLUMNS = STOCK_SCHEMA.fieldNames()
 
 # Column order of the two snapshot files.
 PRICE_COLUMNS = (
-    "symbol yahooSymbol date close adjClose volume avgVolume3m ma20 ma50 ma200 volatility4m "
-    "maxDrawdown4m high52 low52 range52 distance52High distance52Low return1m return3m return4m "
-    "return6m source updatedAt"
-).split()
+    "symbol",
+    "yahooSymbol",
+    "date",
+    "close",
+    "adjClose",
+    "volume",
+    "avgVolume3m",
+    "ma20",
+    "ma50",
+    "ma200",
+    "volatility4m",
+    "maxDrawdown4m",
+    "high52",
+    "low52",
+    "range52",
+    "distance52High",
+    "distance52Low",
+    "return1m",
+    "return3m",
+    "return4m",
+    "return6m",
+    "source",
+    "updatedAt",
+)
 FUND_COLUMNS = (
-    "symbol yahooSymbol shortName sector industry forwardEps trailingEps forwardPE trailingPE "
-    "pegRatio revenueGrowth earningsGrowth grossMargins operatingMargins profitMargins "
-    "debtToEquity currentRatio quickRatio totalDebt totalCash beta marketCap fiftyTwoWeekHigh "
-    "fiftyTwoWeekLow earningsTimestamp nextEarningsDate source updatedAt error"
-).split()
+    "symbol",
+    "yahooSymbol",
+    "shortName",
+    "sector",
+    "industry",
+    "forwardEps",
+    "trailingEps",
+    "forwardPE",
+    "trailingPE",
+    "pegRatio",
+    "revenueGrowth",
+    "earningsGrowth",
+    "grossMargins",
+    "operatingMargins",
+    "profitMargins",
+    "debtToEquity",
+    "currentRatio",
+    "quickRatio",
+    "totalDebt",
+    "totalCash",
+    "beta",
+    "marketCap",
+    "fiftyTwoWeekHigh",
+    "fiftyTwoWeekLow",
+    "earningsTimestamp",
+    "nextEarningsDate",
+    "source",
+    "updatedAt",
+    "error",
+)
 FUND_TEXT_COLUMNS = frozenset(
-    "symbol yahooSymbol shortName sector industry source updatedAt error".split()
+    (
+        "symbol",
+        "yahooSymbol",
+        "shortName",
+        "sector",
+        "industry",
+        "source",
+        "updatedAt",
+        "error",
+    )
 )

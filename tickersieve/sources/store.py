@@ -8,18 +8,29 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own_folder: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; in local mode else a temporary one."""
+    """The folder the cluster names in spark.checkpoint.dir; in local mode, where it is unset, one
+    temporary folder for the application."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own_folder:
+        _own_folder[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _own_folder[app]
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh folder, deleted when the session's file system is closed."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
