@@ -273,10 +273,12 @@ class FakeSession:
         self.conf = {"spark.checkpoint.dir": folder} if folder else {}
         self.sparkContext = self
         self.master = master
+        self.applicationId = f"fake-{master}"
 
 
 def test_shared_dir():
     assert shared_dir(FakeSession("hdfs://x/shared/", "yarn")) == "hdfs://x/shared"
-    assert shared_dir(FakeSession(None, "local[2]")).startswith("/tmp/spark-")
+    own = shared_dir(FakeSession(None, "local[2]"))
+    assert own.startswith("/tmp/spark-") and shared_dir(FakeSession(None, "local[2]")) == own
     with pytest.raises(RuntimeError):
         shared_dir(FakeSession(None, "yarn"))
