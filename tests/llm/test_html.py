@@ -34,6 +34,15 @@ def test_broken_and_small_pages():
     assert html.main_text("<p>a</p></div></p><p>b &amp c</p>") == "a b & c"
 
 
+def test_names_of_page_parts():
+    text = "Words of a block, in a sentence."
+    for name in ("ad-slot", "adbox", "cookieBar", "commentlist", "comment_section", "site-header", "newsletter-box", "related-posts", "share-buttons", "Sidebar left"):
+        assert html.main_text(f"<article><p>Kept, this.</p><div class='{name}'>{text}</div></article>") == "Kept, this.", name
+    for name in ("article-header", "headline", "adage", "lead", "shade", "body-copy", "commons"):
+        assert html.main_text(f"<article><p>Kept, this.</p><div class='{name}'>{text}</div></article>") == f"Kept, this. {text}", name
+    assert html.main_text(f"<main><header><h1>Title</h1></header><p>{text}</p></main>") == f"Title {text}"
+
+
 def test_paths_with_more_text_and_punctuation_score_higher():
     found, _ = html.blocks("<div><p>Long text, with signs. And more of it, here.</p><p>Again, a sentence.</p></div><ul><li>x</li><li>y</li></ul>")
     score = html.scores(found)

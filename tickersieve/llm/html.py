@@ -29,9 +29,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 SKIPPED = frozenset("nav header footer aside form button select option menu dialog head fieldset datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog form menu menubar toolbar alert".split())
 CUES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|sidebar|side-bar|widget|related|recommend\w*|"
-    r"share|sharing|social|comments?|comment-list|disqus|respond|reply|replies|discussion|reactions?|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|footer|masthead|site-header|page-header|header|"
-    r"toolbar|newsletter|subscribe|subscription|signup|login|search|tags?|tag-list|byline-share|copyright|legal|disclaimer|skip|toc|hidden|paywall|outbrain|taboola)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|block|banner)|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent\w*|gdpr|notices?|notification\w*|alert\w*|popup|modal|overlay|sidebar\w*|side-bar|widget\w*|related\w*|recommend\w*|"
+    r"share\w*|sharing|social\w*|comment\w*|disqus\w*|respond|reply|replies|discussion|reactions?|nav|navbar|navigation|navmenu|menu\w*|breadcrumb\w*|pagination|pager|footer\w*|masthead|topbar|site-header|page-header|"
+    r"toolbar|newsletter\w*|subscribe|subscription|signup|login|search\w*|tags?|tag-list|copyright|legal|disclaimer|skip|toc|hidden|paywall|outbrain|taboola)(?:$|[\s_-])",
     re.IGNORECASE,
 )
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|post-content|entry|entry-content|content|main|main-content|story|story-body|body-text|text)(?:$|[\s_-])", re.IGNORECASE)

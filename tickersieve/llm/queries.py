@@ -80,4 +80,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_pii": op10_pii,
 }
-ORACLE: dict[str, str] = {}
+# Only these two have results that SQL can state in full; the others are tested in tests/llm.
+_WORDS = r"coalesce(regexp_extract_all({}, '[^\x20\x09-\x0D]+'), [])"
+ORACLE: dict[str, str] = {
+    "op1_substring_dedup": f"""
+with texts as (select doc_id, {_WORDS.format("text")} as words from documents),
+windows as (
+  select doc_id, i, array_to_string(words[i:i + 49], ' ') as run
+  from (select doc_id, words, unnest(range(1, len(words) - 48)) as i from texts where len(words) >= 50)),
+firsts as (select run, min(doc_id) as low from windows group by run),
+gone as (
+  select distinct w.doc_id, unnest(range(w.i, w.i + 50)) as k
+  from windows w join firsts f on f.run = w.run where f.low < w.doc_id),
+places as (select doc_id, unnest(range(1, len(words) + 1)) as k, unnest(words) as word from texts),
+kept as (
+  select p.doc_id, string_agg(p.word, ' ' order by p.k) as left_over
+  from places p anti join gone g on g.doc_id = p.doc_id and g.k = p.k group by p.doc_id),
+removed as (select doc_id, count(*) as n from gone group by doc_id)
+select t.doc_id, cast(len(t.words) as bigint) as n_words, cast(coalesce(r.n, 0) as bigint) as n_removed,
+       sha256(coalesce(k.left_over, '')) as kept_sha256
+from texts t left join kept k on k.doc_id = t.doc_id left join removed r on r.doc_id = t.doc_id""",
+    "op2_jaccard_join": f"""
+with recursive texts as (
+  select doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as words
+  from documents),
+sets as (
+  select distinct doc_id, unnest(case
+    when len(words) >= 5 then list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+    when len(words) > 0 then [array_to_string(words, ' ')] else [] end) as shingle from texts),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as common
+  from sets a join sets b on a.shingle = b.shingle and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (
+  select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where 100 * common >= 80 * (x.n + y.n - common)),
+steps as (select a, b from links union all select b, a from links),
+reached as (
+  select doc_id as a, doc_id as b from texts
+  union select r.a, s.b from reached r join steps s on s.a = r.b)
+select t.doc_id, cast(coalesce(max(s.n), 0) as bigint) as n_shingles, min(r.b) as component_id
+from texts t left join sizes s on s.doc_id = t.doc_id join reached r on r.a = t.doc_id group by t.doc_id""",
+}
