@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20  # of text that one step of a task holds at once; a longer text is a chunk alone
+CHUNK_BYTES = 1 << 20  # of text that one step of a task holds at once; a longer text is a chunk alone
 
 _shipped: set[str] = set()
 _own_folder: dict[str, str] = {}
