@@ -6,11 +6,12 @@ bits stand for shingles, and every link is verified on whole sets.
 
 1. Documents of equal sets form one class, which its smallest doc_id stands for.
 2. Each class has a prefix: the first n - ceil(0.8 n) + 1 tokens of its set in one global order. Linked
-   classes share a token of their prefixes. The order puts tokens last that tasks have found frequent
-   (the list is broadcast, at most FREQUENT numbers; whatever it holds, the result is the same), so
-   that lines which very many documents share are seldom in a prefix. Tokens of one class end here.
-3. Groups of similar classes: each class is verified against one hub, the class with which it shares
-   most prefix tokens among the smallest per token, in a few rounds. A group is a component of such links.
+   classes share a token of their prefixes. The order puts tokens last that tasks have found frequent,
+   and those that are frequent in prefixes under this first order (the list is broadcast, at most
+   FREQUENT numbers; whatever it holds, the result is the same), so that lines and passages which many
+   documents share are seldom in a prefix. Tokens of one class end here.
+3. Groups of similar classes: each class is verified against HUBS hubs, those with which it shares most
+   prefix tokens among one class per token, in a few rounds. A group is a component of such links.
 4. The matrix holds the union of prefix tokens of each group, and its smallest and largest set. A class
    and a group that share fewer tokens than any link would need (see `_bound`) are never opened;
    qualifying groups are opened and their members verified.
@@ -31,15 +32,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickersieve.llm.frames import batch, bytes_of, chunks, documents, dropped, longs, map_arrow, ship, written
+from tickersieve.llm.frames import batch, bytes_of, chunks, documents, dropped, longs, map_arrow, release, ship, written
 from tickersieve.llm.graph import components
 from tickersieve.llm.words import LOWER, hash_spans, inside_one, mix, spans, window_hashes
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5
-FREQUENT = 100_000
+FREQUENT = 200_000
 LOCAL_COUNT, FREQUENT_COUNT = 3, 8  # copies in a task, and in all tasks' reports, from which a token is put last
 STAR_ROUNDS = 5
+HUBS = 3  # a class is compared with in a round
+LIKELY = 0.3  # of a prefix that a class shares with a hub for that
+PROGRESS = 0.1  # of the first round's links, without which there is no other round
 LAST = 1 << 62  # keys from here on belong to frequent tokens
 
 
@@ -121,15 +125,15 @@ def _sets_and_frequent(batches) -> Iterator[pa.RecordBatch]:
         use = counts >= LOCAL_COUNT
         k = int(use.sum())
         none = pa.nulls(k, pa.int64())
-        yield batch(doc_id=none, n=pa.array(counts[use], pa.int32()), c1=none, c2=none, token=pa.array(tokens[use].view(np.int64)))
+        yield batch(doc_id=none, n=pa.array(counts[use], pa.int32()), c1=none, c2=none, token=pa.array((tokens[use] >> np.uint64(2)).astype(np.int64)))
 
 
 def _keys(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The place of each token in the global order."""
+    """The place of each token in the global order; `frequent` is sorted."""
     keys = (tokens >> np.uint64(2)).astype(np.int64)
     if len(frequent):
-        place = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        keys[frequent[place] == tokens] += LAST
+        place = np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)
+        keys[frequent[place] == keys] += LAST
     return keys
 
 
@@ -207,16 +211,20 @@ def near_copies(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     sets = written(docs.select("doc_id", "text").mapInArrow(_sets_and_frequent, "doc_id long, n int, c1 long, c2 long, token long"), "sets")
-    top = sets.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_COUNT).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
-    frequent = np.sort(top.column("token").to_numpy().astype(np.int64).view(np.uint64))
-    frequent = spark.sparkContext.broadcast(frequent)
+    reported = sets.where("token is not null").groupBy("token").agg(F.sum("n").alias("n"))
+    frequent = _most_frequent(reported)
 
     members = sets.where("doc_id is not null")
     reps = members.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
     members = written(members.join(reps, ["c1", "c2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "members")
-    dropped(sets)
-
-    rows = docs.select("doc_id", "text").mapInArrow(lambda b: _prefixes(b, frequent.value), "key long, doc_id long, n int")
+    def prefixes(known: np.ndarray) -> DataFrame:
+        shared_list = spark.sparkContext.broadcast(known)
+        return docs.select("doc_id", "text").mapInArrow(lambda b: _prefixes(b, shared_list.value), "key long, doc_id long, n int")
+
+    found = prefixes(frequent).where(F.col("key") < LAST).groupBy(F.col("key").alias("token")).agg(F.count("*").alias("n"))
+    frequent = _most_frequent(reported.unionByName(found))
+    release(spark)
+    rows = prefixes(frequent)
     several = rows.where(F.col("key") < LAST).withColumn("of", F.count("*").over(Window.partitionBy("key"))).where("of > 1 or n < 0").drop("of")
     rows = several.unionByName(rows.where(F.col("key") >= LAST))
     # under the names of class representatives; copies in other tasks fall together
@@ -225,18 +233,18 @@ def near_copies(docs: DataFrame) -> DataFrame:
     ends = shared.where("last < 0").groupBy("id").agg(F.max("key").alias("end"))
     several = shared.groupBy("key").agg(F.count("*").alias("of")).where("of > 1").select("key")
     postings = written(shared.select("key", "id", "n").join(several, "key").join(ends, "id"), "postings")
-    dropped(shared)
+    dropped(shared, sets)
     texts = written(docs.join(postings.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text"), "texts")
 
     links: list[DataFrame] = []
-    grouped = postings.withColumn("group", F.col("id"))
+    grouped, first = postings.withColumn("group", F.col("id")), 0
     for round_ in range(STAR_ROUNDS):
-        found = written(verified(_star_pairs(grouped, round_), texts), "links")
-        links.append(found)
+        links.append(written(verified(_star_pairs(grouped, round_), texts), "links"))
         labels = components(_all(links))
         grouped = written(postings.join(labels, postings["id"] == labels["node"], "left").select("key", "id", "n", "end", F.coalesce("component", "id").alias("group")), "grouped")
-        rows_, across = grouped.groupBy("key").agg(F.count("*").alias("m"), F.count_distinct("group").alias("g")).agg(F.sum("m"), F.sum(F.when(F.col("g") > 1, F.col("m") * F.col("g")))).first()
-        if (across or 0) <= 2 * (rows_ or 0) or found.isEmpty():
+        made = links[-1].count()
+        first = first or made
+        if made <= PROGRESS * first and round_:
             break
     links.append(written(verified(_opened(grouped), texts), "links"))
     labels = components(_all(links))
@@ -251,26 +259,42 @@ def _all(links: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _most_frequent(counts: DataFrame) -> np.ndarray:
+    """The FREQUENT most frequent of the tokens counted FREQUENT_COUNT times at least, sorted."""
+    total = counts.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_COUNT)
+    top = total.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow()
+    return np.sort(top.column("token").to_numpy().astype(np.int64))
+
+
+def _sizes_fit(n: str, least: str, most: str) -> Column:
+    """Can a set of n tokens be as similar as a link needs to one of least to most tokens?"""
+    return (F.col(least) * NUMERATOR <= F.col(n) * DENOMINATOR) & (F.col(n) * NUMERATOR <= F.col(most) * DENOMINATOR)
+
+
 def _star_pairs(grouped: DataFrame, round_: int) -> DataFrame:
-    """For each class the one hub outside its group with which it shares most prefix tokens.
+    """For each class the HUBS hubs outside its group with which it shares most prefix tokens.
 
-    A token's hub is a class of its smallest group: the smallest class, in later rounds another one."""
-    order = F.struct("group", "id") if round_ == 0 else F.struct("group", F.xxhash64("id", F.lit(round_)), "id")
+    A token's hub is a class of its smallest group: the smallest class, in later rounds others."""
+    order = F.struct("group", "id") if round_ == 0 else F.struct("group", F.xxhash64("id", F.col("key") % HUBS, F.lit(round_)), "id")
     hubs = grouped.groupBy("key").agg(F.min_by(F.struct("id", "group", "n", "end"), order).alias("hub")).select("key", F.col("hub.id").alias("hub"), F.col("hub.group").alias("hub_group"), F.col("hub.n").alias("hub_n"), F.col("hub.end").alias("hub_end"))
-    pairs = grouped.join(hubs, "key").where(F.col("group") != F.col("hub_group"))
+    pairs = grouped.join(hubs, "key").where((F.col("group") != F.col("hub_group")) & _sizes_fit("n", "hub_n", "hub_n"))
     counted = pairs.groupBy("id", "hub").agg(F.count("*").alias("shared"), *[F.first(c).alias(c) for c in ("n", "end", "hub_n", "hub_end")])
-    near = counted.where(_bound(F.col("shared"), F.col("n"), F.col("end"), F.col("hub_n"), F.col("hub_end")))
-    return near.groupBy("id").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("b")).select(F.col("id").alias("a"), "b")
+    # Hubs that share little are left to the matrix, which misses nothing.
+    least = LIKELY * (F.col("n") * (1 - NUMERATOR / DENOMINATOR) + 1) / (HUBS if round_ else 1)
+    best = Window.partitionBy("id").orderBy(F.desc("shared"), "hub")
+    likely = counted.where(F.col("shared") >= least).withColumn("rank", F.row_number().over(best))
+    return likely.where(F.col("rank") <= HUBS).select(F.col("id").alias("a"), F.col("hub").alias("b"))
 
 
 def _opened(grouped: DataFrame) -> DataFrame:
     """Pairs of classes in different groups that may link, found through the token-group matrix."""
-    sizes = grouped.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = grouped.groupBy("key", F.col("group").alias("other")).agg(F.lit(1).alias("x")).drop("x")
-    overlaps = grouped.join(matrix, "key").where(F.col("group") < F.col("other")).groupBy("id", "other").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    sizes = sizes.withColumnRenamed("group", "other")
+    sizes = grouped.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("group", "other")
+    matrix = grouped.groupBy("key", F.col("group").alias("other")).agg(F.min("n").alias("from_n"), F.max("n").alias("to_n"))
+    overlaps = grouped.join(matrix, "key").where((F.col("group") < F.col("other")) & _sizes_fit("n", "from_n", "to_n"))
+    overlaps = overlaps.groupBy("id", "other").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
     open_ = overlaps.join(sizes, "other").where(_group_bound(F.col("shared"), F.col("n"), F.col("least"), F.col("most"))).select("id", "other")
     query = grouped.select("key", "id", "n", "end").join(open_, "id")
     member = grouped.select("key", F.col("id").alias("b"), F.col("group").alias("other"), F.col("n").alias("n_b"), F.col("end").alias("end_b"))
-    counted = query.join(member, ["key", "other"]).groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("shared"), *[F.first(c).alias(c) for c in ("n", "end", "n_b", "end_b")])
+    counted = query.join(member, ["key", "other"]).where(_sizes_fit("n", "n_b", "n_b"))
+    counted = counted.groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("shared"), *[F.first(c).alias(c) for c in ("n", "end", "n_b", "end_b")])
     return counted.where(_bound(F.col("shared"), F.col("n"), F.col("end"), F.col("n_b"), F.col("end_b"))).select("a", "b")
