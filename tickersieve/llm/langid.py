@@ -5,8 +5,9 @@ languages: expectation-maximisation over its words estimates the proportions; la
 out, smallest first, as long as the likelihood less PENALTY * log(words) for each language does not
 fall. The predicted language is the one of largest proportion, its proportion the score.
 
-Only the model is fitted on a sample: of each language the PER_LANGUAGE texts with the smallest hash of
-doc_id, whole. It holds TRIPLES numbers per language. Prediction looks at the text alone.
+Only the model is fitted on a sample: of each language about PER_LANGUAGE whole texts, those whose hash
+of doc_id and text is below that share of all hashes. It holds TRIPLES numbers per language.
+Prediction looks at the text alone.
 A text that is null or has no letter is `und` with score 0, as is any text if there is nothing to learn
 from. Ties go to the language that is first in alphabetical order. Repeated rows repeat their result.
 """
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickersieve.llm.frames import batch, bytes_of, map_arrow, ship
@@ -61,14 +62,14 @@ def fit(labelled: DataFrame) -> Model:
     spark = labelled.sparkSession
     ship(spark)
     rows = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).withColumn("rank", F.xxhash64("doc_id"))
-    order = Window.partitionBy("lang").orderBy("rank")
-    last = rows.select("lang", "rank").withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LANGUAGE).groupBy("lang").agg(F.max("rank").alias("last")).collect()
-    languages = sorted(r[0] for r in last)
+    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    sizes = rows.groupBy("lang").agg(F.count("*")).collect()  # one row for each language
+    languages = sorted(r[0] for r in sizes)
     if not languages:
         return Model([], np.zeros((0, TRIPLES + 1), np.float32))
-    limit = F.create_map(*[F.lit(x) for r in last for x in r])
-    sample = rows.where(F.col("rank") <= limit[F.col("lang")]).select("lang", "text")
+    limit = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, min(1.0, PER_LANGUAGE / n))])
+    rank = (F.xxhash64("doc_id", "text").cast("double") + 2.0**63) / 2.0**64
+    sample = rows.where(rank <= limit[F.col("lang")]).select("lang", "text")
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         tally: dict[str, np.ndarray] = {}
