@@ -75,3 +75,26 @@ def test_awkward_rows_and_empty_tables(spark):
     assert decontaminate.scored(cases.empty(spark), bench).collect() == []
     none = decontaminate.scored(cases.awkward(spark), bench.limit(0))
     assert none.columns == out.columns and {(r.n_items, r.item_id, r.score) for r in none.collect()} == {(0, None, 0.0)}
+
+
+def test_edited_single_copies_are_found(spark):
+    """Each item has one copy only, with 15 to 25 % of its words changed, or a word put in after every two."""
+    pick = random.Random(8)
+    bench = [(k, t) for k, t in enumerate(cases.sentences(21, 60, 5000, (24, 41)))]
+    rows = []
+    for k, item in bench:
+        words = item.split()
+        if k % 3 == 2:
+            words = [x for i, w in enumerate(words) for x in ([w, f"in{k}x{i}"] if i % 2 and i < len(words) - 2 else [w])]
+        else:
+            n = round(len(words) * pick.choice((0.15, 0.2, 0.25)))
+            at = range(2, 2 + 3 * n, 3) if k % 3 else pick.sample(range(len(words)), n)
+            for i in at:
+                words[min(i, len(words) - 1)] = f"new{k}x{i}"
+        rows.append((k, f"{cases.sentences(k + 100, 1, 5000, (20, 60))[0]} {' '.join(words)} end"))
+    found = {r.doc_id: r for r in decontaminate.scored(cases.docs(spark, rows), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    scores = {k: slow_score(t.split(), bench[k][1].split()) / len(bench[k][1].split()) for k, t in rows}
+    assert sum(s >= decontaminate.THRESHOLD for s in scores.values()) >= 50
+    for k, score in scores.items():
+        if score >= decontaminate.THRESHOLD:
+            assert (found[k].n_items, found[k].item_id, found[k].score) == (1, k, score), (k, score)

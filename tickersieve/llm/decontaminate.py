@@ -1,10 +1,12 @@
 """Benchmark decontamination by rare seeds and local alignment.
 
-Seeds are runs of SEED words of a test item. How often each occurs in the whole corpus is counted, and
-each item keeps the rarest half of its seeds, LEAST at least, by rank: so an item that very many documents
-copy keeps its seeds. A passage around each group of seed hits in a document is aligned with
-the item by Smith-Waterman on words (match 1, mismatch and gap -1). A document is contaminated by an item if the
-best alignment scores at least THRESHOLD of the item's number of words.
+A passage around each group of seed hits in a document is aligned with a test item by Smith-Waterman on
+words (match 1, mismatch and gap -1). A document is contaminated by an item if the best alignment scores at
+least THRESHOLD of the item's number of words.
+
+Seeds are pairs of neighbouring words of an item. An alignment of score s has e mismatches and gaps and s + e
+matches, in at most e + 1 runs, so it holds s - 1 pairs of the item at least. Of the pairs of an item that
+must score s, all but the s - 2 most frequent in the corpus are kept; so each contaminating passage has a hit.
 
 Items are taken in blocks of at most BLOCK_BYTES of text, each against all documents; only a block is
 sent to the tasks. Words are runs of letters and digits in lower case. Items without words match nothing; a null
@@ -25,8 +27,7 @@ from pyspark.sql import functions as F
 from tickersieve.llm.frames import batch, bytes_of, chunks, map_arrow, ship, written
 from tickersieve.llm.words import hash_spans, inside_one, spans, window_hashes
 
-SEED = 3
-LEAST = 8
+SEED = 2
 THRESHOLD = 0.5
 BLOCK_BYTES = 4 << 20
 CELLS = 4 << 20  # of alignment tables worked on at once
@@ -73,11 +74,13 @@ def _items(rows: list[tuple[int, str]]) -> Items:
 
 
 def _rarest(items: Items, counts: dict[int, int]) -> Items:
+    """Leaves out as many of each item's most frequent seeds as any contaminating alignment can spare."""
     often = np.array([counts.get(int(s), 0) for s in items.seeds.view(np.int64)], np.int64)
     order = np.lexsort((items.place, often, items.item))
     sizes = np.bincount(items.item, minlength=len(items.ids))
     rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    keep = np.sort(order[rank < np.maximum(LEAST, -(-np.repeat(sizes, sizes) // 2))])
+    spared = np.maximum(0, np.ceil(THRESHOLD * np.diff(items.first)).astype(np.int64) - 2)
+    keep = np.sort(order[rank < np.repeat(sizes - spared, sizes)])
     return Items(items.ids, items.words, items.first, items.seeds[keep], items.item[keep], items.place[keep])
 
 
