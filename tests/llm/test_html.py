@@ -63,3 +63,18 @@ def test_null_rows_and_empty_table(spark):
     out = html.extract(pages.selectExpr("*", "1 as text", "2 as n_chars")).collect()
     assert sorted(map(tuple, out), key=repr) == sorted([(1, "u", "", 0), (2, None, "", 0), (None, None, "x, y.", 5), (1, "u", "", 0)], key=repr)
     assert html.extract(pages.limit(0)).collect() == []
+
+
+def test_names_of_titles_and_paragraphs_drop_nothing():
+    a, b = "A first paragraph, with words. And more of them.", "A second one; it goes on, and on."
+    for name in ("post-title", "entry-title", "article-title", "story-title"):
+        assert html.main_text(f"<div class=wrap><h1 class='{name}'>T</h1><p>{a}</p><p>{b}</p></div>") == f"T {a} {b}", name
+    for name in ("text-center", "text-muted", "text"):
+        assert html.main_text(f"<div><p>{a}</p><p class='{name}'>In the middle.</p><p>{b}</p></div>") == f"{a} In the middle. {b}", name
+    assert html.main_text(f"<div><div class=text-center>A caption.</div><p>{a}</p><p>{b}</p></div>") == f"A caption. {a} {b}"
+
+
+def test_an_article_split_by_an_advert_is_whole():
+    long, last = "<p>Many words, in sentences. One more, and so on and on.</p>" * 12, "<h2>End</h2><p>The last words, of the story.</p>"
+    page = f"<body><div><div class=text>{long}</div><div class=ad>Buy, now.</div><div class=text>{last}</div></div></body>"
+    assert html.main_text(page).endswith("so on and on. End The last words, of the story.") and "Buy" not in html.main_text(page)

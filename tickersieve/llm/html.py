@@ -2,7 +2,9 @@
 
 Each page's blocks of text are grouped by their root-to-leaf tag path. Per path the text length and
 the punctuation per block are aggregated, smoothed over the page's order of blocks, fused into one score
-and compared with a threshold; the container that holds most of the score yields the content nodes.
+and compared with a threshold. Paths below containers named as content score BONUS times as much. Content are the
+blocks over the threshold, all of the container that holds most of their score, and all of each container
+named as content that holds one of them.
 Elements that are never an article's text (menus, forms, scripts, boxes named as adverts, notices,
 comments and the like) have paths of weight 0.
 
@@ -38,6 +40,10 @@ CONTENT = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|post-content|entr
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tbody", "tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th")}
 SCOPES = frozenset("table ul ol dl article section main body div".split())
+# these are no containers; a name as content says nothing about what stands beside them
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol blockquote pre html body td tr tbody".split())
+BONUS = 2.0
+THRESHOLD = 0.5  # of the page's mean score; the ends of an article are smoothed down by what stands beside them
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)", re.DOTALL)
@@ -156,10 +162,10 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
         below, container = (stack[-1][1], stack[-1][2]) if stack else (False, -1)
         article_header = tag == "header" and any(s[0].split(".")[0] in ("article", "main") for s in stack)
         off = (off and tag not in ("html", "body", "article", "main") or off and tag == "article" and not on) or tag in SKIPPED and not article_header
-        if tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "html", "body", "td", "tr", "tbody"):
+        if tag not in LEAVES:
             parents.append(container)
             container = len(parents) - 1
-        name = tag + (".content" if on or tag in ("article", "main") else "")
+        name = tag + (".content" if on and tag not in LEAVES or tag in ("article", "main") else "")
         stack.append((name, below or off, container))
     flush()
     return out, parents
@@ -174,7 +180,7 @@ def scores(found: list[Block]) -> list[float]:
             s[0] += len(b.text) - b.linked
             s[1] += len(PUNCTUATION.findall(b.text))
             s[2] += 1
-    raw = [0.0 if b.dropped else size[b.path][0] / size[b.path][2] * (1 + size[b.path][1] / size[b.path][2]) for b in found]
+    raw = [0.0 if b.dropped else size[b.path][0] / size[b.path][2] * (1 + size[b.path][1] / size[b.path][2]) * (BONUS if ".content" in b.path else 1.0) for b in found]
     smooth = []
     for i, b in enumerate(found):
         near = [raw[j] for j in (i - 1, i + 1) if 0 <= j < len(found) and not found[j].dropped]
@@ -190,16 +196,12 @@ def main_text(page: str) -> str:
     kept = [i for i, b in enumerate(found) if not b.dropped]
     if not kept:
         return ""
-    marked = [i for i in kept if ".content" in found[i].path]
-    if marked:
-        # of several marked containers those that hold a fair share of the best one's score
-        total: dict[int, float] = defaultdict(float)
-        for i in marked:
-            total[_outer(found[i], parents)] += score[i]
-        best = max(total.values())
-        chosen = [i for i in marked if total[_outer(found[i], parents)] >= 0.2 * best]
-    else:
-        chosen = _largest(found, parents, score, kept)
+    level = THRESHOLD * sum(score[i] for i in kept) / len(kept)
+    over = {i for i in kept if score[i] >= level}
+    inside = set(_largest(found, parents, score, kept, over))
+    named = {i: _outer(found[i], parents) for i in kept if ".content" in found[i].path}
+    holders = {named[i] for i in over if i in named}
+    chosen = [i for i in kept if i in over or i in inside or named.get(i) in holders]
     level = 0.05 * max((score[i] for i in chosen), default=0.0)
     picked = [i for i in chosen if score[i] >= level or found[i].linked * 2 <= len(found[i].text)]
     return " ".join(found[i].text for i in picked)
@@ -214,17 +216,15 @@ def _outer(b: Block, parents: list[int]) -> int:
         c = parents[c]
     tags = [t for t in b.path.split("/")]
     first = next(k for k, t in enumerate(tags) if t.endswith(".content"))
-    containers = [k for k, t in enumerate(tags) if t.split(".")[0] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "html", "body", "td", "tr", "tbody")]
+    containers = [k for k, t in enumerate(tags) if t.split(".")[0] not in LEAVES]
     chain.reverse()
     return chain[containers.index(first)] if first in containers and containers.index(first) < len(chain) else -1
 
 
-def _largest(found: list[Block], parents: list[int], score: list[float], kept: list[int]) -> list[int]:
-    """Without marked containers: paths over the threshold, and what shares their best container."""
-    mean = sum(score[i] for i in kept) / len(kept)
-    over = [i for i in kept if score[i] >= mean] or kept
+def _largest(found: list[Block], parents: list[int], score: list[float], kept: list[int], over: set[int]) -> list[int]:
+    """What shares the container that holds most of the score over the threshold."""
     total: dict[int, float] = defaultdict(float)
-    for i in over:
+    for i in sorted(over):
         c, weight = found[i].container, 1.0
         while True:
             total[c] += score[i] * weight
