@@ -9,7 +9,8 @@ matches, in at most e + 1 runs, so it holds s - 1 pairs of the item at least. Of
 must score s, all but the s - 2 most frequent in the corpus are kept; so each contaminating passage has a hit.
 
 Items are taken in blocks of at most BLOCK_BYTES of text, each against all documents; only a block is
-sent to the tasks. Words are runs of letters and digits in lower case. Items without words match nothing; a null
+sent to the tasks. Words are runs of letters and digits in lower case. Items of one word or none have no pair and match nothing;
+one of two words matches only where both stand together; a null
 or empty text is clean. Repeated rows repeat their result. Ties go to the smallest item_id.
 """
 
