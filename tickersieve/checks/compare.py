@@ -34,6 +34,8 @@ def normal(names: list[str], rows: list[tuple]) -> tuple[list[str], list[tuple]]
 
 
 def differences(df, sql: str, con) -> list[str]:
+    if len(set(df.columns)) < len(df.columns):
+        return [f"repeated column names {sorted({c for c in df.columns if df.columns.count(c) > 1})}"]
     names, mine = normal(df.columns, [tuple(r) for r in df.collect()])
     cursor = con.execute(sql)
     wanted_names, wanted = normal([d[0] for d in cursor.description], cursor.fetchall())

@@ -1144,7 +1144,7 @@ def state_json_roundtrip(spark, sf_dir):
     if known != cfg or unknown:
         raise ValueError(f"settings were not kept: {known}, {unknown}")
     rows = read.withColumn("threshold", F.lit(known.overvalued_threshold))
-    return rows.select(*_CARRIED, "next_earnings_date", "threshold")
+    return rows.select(*_CARRIED, "threshold")
 
 
 @query
