@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickersieve.llm import decontaminate, fingerprint, frames, html, jaccard, langid, lines, packing, pii, shards, substring
+from tickersieve.llm import audit, decontaminate, fingerprint, frames, html, jaccard, langid, lines, packing, pii, quality, shards, substring, variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.divergences(table(spark, sf_dir, "documents"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return done.drop("stratum", "n_lines", "rejected_by")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_jaccard_join": op2_jaccard_join,
@@ -79,8 +92,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_html_extraction": op9_html_extraction,
     "op10_pii": op10_pii,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_spelling_variants": op13_spelling_variants,
 }
-# Only these two have results that SQL can state in full; the others are tested in tests/llm.
+# These have results that SQL can state in full; the others are tested in tests/llm.
 _WORDS = r"coalesce(regexp_extract_all({}, '[^\x20\x09-\x0D]+'), [])"
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": f"""
@@ -121,4 +137,35 @@ reached as (
   union select r.a, s.b from reached r join steps s on s.a = r.b)
 select t.doc_id, cast(coalesce(max(s.n), 0) as bigint) as n_shingles, min(r.b) as component_id
 from texts t left join sizes s on s.doc_id = t.doc_id join reached r on r.a = t.doc_id group by t.doc_id""",
+    "op11_source_divergence": r"""
+with docs as (
+  select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+found as (
+  select id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+kept as (select lang, term, count(*) as n from found group by lang, term having count(distinct id) >= 10),
+langs as (select lang, count(*) as v, sum(n) as total from kept group by lang),
+groups as (select distinct lang, source from docs),
+own as (select lang, source, term, count(*) as n from found semi join kept using (lang, term) group by lang, source, term),
+totals as (select lang, source, sum(n) as total from own group by lang, source),
+shares as (
+  select g.lang, g.source, k.term, coalesce(o.n, 0) as n,
+         1 + (cast(1000000000 as hugeint) * (coalesce(o.n, 0) + 2)) // (coalesce(t.total, 0) + 2 * l.v) as p,
+         1 + (cast(1000000000 as hugeint) * (k.n + 2)) // (l.total + 2 * l.v) as q
+  from groups g join kept k on k.lang = g.lang join langs l on l.lang = g.lang
+  left join totals t on t.lang = g.lang and t.source = g.source
+  left join own o on o.lang = g.lang and o.source = g.source and o.term = k.term),
+sums as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0) as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+terms as (
+  select lang, source, 'term' as part, term as item, (p - q) * (p - q) // (p + q) as value from shares where n > 0 and p > q),
+ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item) as rank
+  from (select * from pairs union all select * from terms))
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank
+from ranked where part = 'pair' or rank <= 10""",
 }
