@@ -604,6 +604,8 @@ check("max_drawdown", "select symbol, round(drawdown, 6) max_drawdown4m from m_l
 check("eod_metrics", EOD + "m_l", "m_l")
 check("eod_metrics_short", EOD + "m_p", "m_p")
 check("eod_metrics_13mo", EOD + "m_recent", "m_recent")
+for _name in ("eod_metrics_long_history", "eod_metrics_bucketed", "eod_metrics_incremental"):
+    check(_name, EOD + "m_l", "m_l")
 check(
     "dedupe_bars",
     """select 's-' || l_suppkey as symbol, cast(cast(l_shipdate as date) as varchar) as date,
@@ -1111,3 +1113,79 @@ check(
     "m_once",
 )
 check("fundamentals_csv_roundtrip", """select symbol, sector, forward_eps as "forwardEps", '' as beta, '' as error from fund""", "fund")
+check(
+    "bulk_partitioned",
+    """select upper(replace(symbol, '-', '.')) as symbol, round(price, 6) price, cast(date as varchar) date
+       from bulk_usable where date = (select max(date) from bulk_usable)""",
+    "bulk_usable",
+)
+check(
+    "mixed_folder",
+    """select case when k % 6 = 0 then 'chart' when k % 6 in (1, 2) then 'history' when k % 6 = 3 then 'light' else 'list' end as shape,
+         upper(replace(symbol, '-', '.')) as symbol, round(price, 6) as price, cast(date as varchar) as date
+       from (
+         select symbol, k, max(date) filter (k % 6 > 0 or close is not null) as date,
+           case when k % 6 = 0 then arg_max(close, date) filter (close is not null)
+             when k % 6 in (1, 2, 3) then coalesce(arg_max(close, date) filter (date = last), arg_max(adj_close, date) filter (date = last))
+             else arg_max(adj_close, date) filter (date = last) end as price
+         from (select *, max(date) over (partition by symbol) as last from sup)
+         group by symbol, k)
+       where price <> 0 and not (k % 6 = 5 and k % 4 = 1)""",
+    "sup",
+)
+_SETS = (("all", "sc"), ("selected", "util"), ("own_sector", "sec"), ("watchlist", "watch"), ("search", "ring"))
+check(
+    "peer_sets",
+    " union all ".join(f"select key as symbol, '{p}' as peer_set, round(case when pe_now is not null then med end, 6) median_pe, round(percentile, 6) pe_percentile from {b}" for p, b in _SETS),
+    *[b for _, b in _SETS],
+)
+check(
+    "scored_for_views",
+    " union all ".join(f"select key as symbol, '{p}' as peer_set, status, round(score, 6) short_score, round(premium, 6) sector_premium, trap as value_trap from {b}" for p, b in _SETS),
+    *[b for _, b in _SETS],
+)
+block(
+    "st_edit",
+    """select * replace (case when sector = 'Energy' and ordinal % 2 = 0 then price * 1.25 else price end as price,
+         case when sector = 'Financials' and ordinal % 5 = 0 then 21.0 else eps_growth end as eps_growth)
+       from st where not (sector = 'Utilities' and ordinal % 7 = 0)""",
+    "st",
+)
+model("sec_edit", "st_edit", key="coalesce(sector, '')")
+check(
+    "rescored_changes",
+    """select key as symbol, status, round(percentile, 6) pe_percentile, round(score, 6) short_score, round(premium, 6) sector_premium from sec_edit""",
+    "sec_edit",
+)
+check(
+    "stock_changes",
+    """select coalesce(a.key, b.key) as symbol,
+         case when a.key is null then 'inserted' when b.key is null then 'deleted'
+           when a.price is distinct from b.price or a.eps_growth is distinct from b.eps_growth then 'changed' else 'unchanged' end as change
+       from (select * from st where ordinal % 11 <> 4) a full join (select * from st_edit where ordinal % 11 <> 3) b on a.key = b.key""",
+    "st",
+    "st_edit",
+)
+check(
+    "sketch_medians",
+    """select sector, count(*) as n, true as within_bound from st where price <> 0 and forward_eps > 0 group by sector""",
+    "st",
+)
+check(
+    "search_postings",
+    " union all ".join(
+        f"""select '{q}' as needle, key as symbol from st
+        where concat_ws(chr(10), lower(key), lower(name), lower(sector), lower(sub_industry)) like '%{q.strip().lower()}%'"""
+        for q in ("7", "ed", " RING ", "e b")
+    ),
+    "st",
+)
+check(
+    "csv_rejects",
+    """select case when fits then symbol end as symbol, case when fits then name || ', Inc.' end as name, case when fits then sector end as sector,
+         case ordinal % 11 when 0 then 'too few cells' when 1 then 'too many cells' when 2 then 'blank' else '' end as reason,
+         case ordinal % 11 when 0 then symbol || ',' || name when 1 then symbol || ',"' || name || ', Inc.",' || sector || ',more' else '' end as line
+       from (select *, ordinal % 11 > 2 as fits from fund)""",
+    "fund",
+)
+check("required_rows", "select cast(count(*) as integer) as n, 'no prices were produced' as said from fund", "fund")

@@ -122,23 +122,30 @@ def bar_metrics(bars: DataFrame) -> DataFrame:
 
     Columns that a caller does not select are pruned with their windows.
     """
-    close, recency = F.col("close"), F.col("recency")
-    in_year = F.when(recency <= YEAR, close)
-    in_swing = recency <= SWING
-    step = F.when(in_swing, F.try_divide(close, F.col("previous")) - 1.0)
-    broken_step = in_swing & (F.col("previous") == 0.0) & (close != 0.0)
-    dip = F.when(in_swing, F.try_divide(close, F.col("swing_peak")) - 1.0)
-    broken_dip = in_swing & (F.col("swing_peak") == 0.0) & (close < 0.0)
-
-    aggregates = [
+    per_symbol = _numbered(bars).groupBy("symbol").agg(
         F.count("close").alias("valid"),
-        F.max(F.when(close.isNotNull(), F.col("date"))).alias("date"),
+        F.max(F.when(F.col("close").isNotNull(), F.col("date"))).alias("date"),
         _latest("close").alias("close"),
         _latest("adj_close").alias("adj_close"),
         _latest("volume").cast("long").alias("volume"),
         F.avg(F.when(F.col("volume_recency") <= VOLUME_DAYS, F.col("volume")))
         .cast("long")
         .alias("avg_volume3m"),
+        *_close_figures(),
+    )
+    return finished_metrics(per_symbol)
+
+
+def _close_figures() -> list[Column]:
+    """Aggregates over rows with close, recency, previous and swing_peak."""
+    close, recency = F.col("close"), F.col("recency")
+    in_year = F.when(recency <= YEAR, close)
+    in_swing = recency <= SWING
+    step = F.when(in_swing, F.try_divide(close, F.col("previous")) - 1.0)
+    broken_step = in_swing & (F.col("previous") == 0.0) & (close != 0.0)
+    dip = F.when(in_swing, F.try_divide(close, F.col("swing_peak")) - 1.0)
+    broken_dip = in_swing & (F.col("swing_peak") == 0.0) & (close < 0.0)
+    figures = [
         F.max(in_year).alias("high52"),
         F.min(in_year).alias("low52"),
         F.stddev_samp(step).alias("step_deviation"),
@@ -146,16 +153,58 @@ def bar_metrics(bars: DataFrame) -> DataFrame:
         F.min(dip).alias("deepest_dip"),
         F.coalesce(F.bool_or(broken_dip), F.lit(False)).alias("broken_dip"),
     ]
-    aggregates += [
+    figures += [
         F.avg(F.when(recency <= days, close)).alias(f"mean_{name}")
         for name, days in MOVING_AVERAGES.items()
     ]
-    aggregates += [
+    figures += [
         F.max(F.when(recency == days + 1, close)).alias(f"past_{name}")
         for name, days in RETURN_LOOKBACKS.items()
     ]
-    per_symbol = _numbered(bars).groupBy("symbol").agg(*aggregates)
+    return figures
+
+
+def _newest(bars: DataFrame, column: str, count: int) -> DataFrame:
+    """symbol, date, the column and recency of the newest values of each symbol.
 
+    Spark keeps so many rows per symbol in each map task before the exchange (window group limit)."""
+    by_day = Window.partitionBy("symbol").orderBy(F.desc("date"))
+    present = bars.where(F.col(column).isNotNull()).select("symbol", "date", column)
+    return present.withColumn("recency", F.row_number().over(by_day)).where(F.col("recency") <= count)
+
+
+def newest_metrics(bars: DataFrame) -> DataFrame:
+    """As bar_metrics, for long histories of one bar per symbol and day.
+
+    No lookback exceeds YEAR closes, so only as many per symbol and map task are shuffled, and the last
+    VOLUME_DAYS volumes as a second branch; the rest of the history ends in the scan's task. Both branches end
+    partitioned by symbol. `valid` counts up to YEAR closes. A table of bars is read once per branch, each with
+    its own columns only; store bars that are expensive to derive first.
+    """
+    by_day = Window.partitionBy("symbol").orderBy(F.desc("date"))
+    running = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swing_close = F.when(F.col("recency") <= SWING, F.col("close"))
+    closes = _newest(bars, "close", YEAR).withColumn("previous", F.lead("close").over(by_day))
+    closes = closes.withColumn("swing_peak", F.max(swing_close).over(running))
+    latest = F.col("recency") == 1
+    per_close = closes.groupBy("symbol").agg(
+        F.count("close").alias("valid"),
+        F.max(F.when(latest, F.col("date"))).alias("date"),
+        F.max(F.when(latest, F.col("close"))).alias("close"),
+        *_close_figures(),
+    )
+    per_volume = (
+        _newest(bars, "volume", VOLUME_DAYS)
+        .groupBy("symbol")
+        .agg(F.max(F.when(latest, F.col("volume"))).cast("long").alias("volume"), F.avg("volume").cast("long").alias("avg_volume3m"))
+    )
+    every = bars.groupBy("symbol").agg(_latest("adj_close").alias("adj_close"))
+    joined = every.join(per_close, "symbol", "left").join(per_volume, "symbol", "left")
+    return finished_metrics(joined.withColumn("valid", F.coalesce("valid", F.lit(0))))
+
+
+def finished_metrics(per_symbol: DataFrame) -> DataFrame:
+    """The metrics of each symbol from its counts, means, extremes and earlier closes."""
     last, valid = F.col("close"), F.col("valid")
     high, low = F.col("high52"), F.col("low52")
     moving = [F.when(valid >= n, F.col(f"mean_{m}")).alias(m) for m, n in MOVING_AVERAGES.items()]
@@ -191,15 +240,33 @@ def eod_metrics(
     as_of: str | dt.date | None = None,
     months: int | None = None,
     source: str = SOURCE_PRICE_JOB,
+    one_a_day: bool = False,
 ) -> DataFrame:
     """Price snapshot rows: rounded metrics of every symbol with a valid close, by symbol.
 
     Repeated days and spellings of a symbol count once: the row with the highest ordinal, if
-    there is such a column.
+    there is such a column. `one_a_day` says that there are none, which saves looking for them.
     """
     spelled = clean_bars(bars).withColumn("symbol", normalize_symbol(F.col("symbol")))
-    daily = last_of_day(within_history(spelled.where(F.col("date").isNotNull()), as_of, months))
-    metrics = bar_metrics(daily).where("valid > 0")
+    recent = within_history(spelled.where(F.col("date").isNotNull()), as_of, months)
+    return price_rows(bar_metrics(recent if one_a_day else last_of_day(recent)), updated_at, source)
+
+
+def eod_metrics_long_history(
+    bars: DataFrame,
+    updated_at: str,
+    as_of: str | dt.date | None = None,
+    source: str = SOURCE_PRICE_JOB,
+) -> DataFrame:
+    """As eod_metrics, for a table of many years with one bar per symbol and day (see newest_metrics)."""
+    spelled = clean_bars(bars).withColumn("symbol", normalize_symbol(F.col("symbol")))
+    recent = within_history(spelled.where(F.col("date").isNotNull()), as_of)
+    return price_rows(newest_metrics(recent), updated_at, source)
+
+
+def price_rows(metrics: DataFrame, updated_at: str, source: str = SOURCE_PRICE_JOB) -> DataFrame:
+    """Metrics of symbols with a valid close as rows of the price snapshot."""
+    metrics = metrics.where("valid > 0")
 
     def rounded(name: str) -> Column:
         return F.round(F.col(name), 6)

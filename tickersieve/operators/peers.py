@@ -64,3 +64,15 @@ def with_peer_stats(
         ),
     )
     return attach_per_value(rows, ranks, "_peer", "current_pe", "symbol").drop("_peer")
+
+
+def in_peer_sets(stocks: DataFrame, sets: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Each stock once for every peer set it belongs to, with `peer_set` and `peer`.
+
+    `sets` has for each name who belongs to it and the column whose value a stock shares with its
+    peers there. Figures of all sets then follow from one ranking by `peer`."""
+    members = [
+        F.when(F.coalesce(belongs, F.lit(False)), F.struct(F.lit(name).alias("peer_set"), F.concat(F.lit(f"{name}:"), F.coalesce(by, F.lit(""))).alias("peer")))
+        for name, (belongs, by) in sets.items()
+    ]
+    return stocks.select("*", F.inline(F.array_compact(F.array(*members))))

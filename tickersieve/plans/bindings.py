@@ -107,7 +107,7 @@ def price_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Some closes are empty or '0', and parts of size 29 have a second, later row.
     """
-    metrics = eod_metrics(bars_short(spark, sf_dir), UPDATED_AT)
+    metrics = eod_metrics(bars_short(spark, sf_dir), UPDATED_AT, one_a_day=True)
     columns = ("return1m", "return3m", "return4m", "return6m", "high52", "low52", "range52")
     cells = metrics.select(
         "symbol",
@@ -221,7 +221,7 @@ def stocks(
 def stocks_from_bars(spark: SparkSession, sf_dir: str, cfg: ScreenConfig = CONFIG) -> DataFrame:
     """The stock table priced by the last close of its bars."""
     listed, lists = universe_lists(spark, sf_dir)
-    metrics = eod_metrics(bars_short(spark, sf_dir), UPDATED_AT)
+    metrics = eod_metrics(bars_short(spark, sf_dir), UPDATED_AT, one_a_day=True)
     prices = metrics.select(
         *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in metrics.columns],
         F.lit(0).alias("ordinal"),

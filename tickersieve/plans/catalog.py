@@ -20,21 +20,21 @@ from tickersieve.functions import text as X
 from tickersieve.functions import valuation as V
 from tickersieve.functions.symbols import normalize_symbol, to_api_symbol
 from tickersieve.operators import bars as bar_ops
-from tickersieve.operators import feeds, snapshots, universe
+from tickersieve.operators import bar_state, changes, feeds, mixed, search, sketches, snapshots, universe
 from tickersieve.operators.score import score, with_scores, with_valuation
-from tickersieve.operators.peers import with_peer_stats
+from tickersieve.operators.peers import in_peer_sets, with_peer_stats
 from tickersieve.operators.rows import last_per_key
 from tickersieve.plans import bindings as B
 from tickersieve.plans import jobs, views
 from tickersieve.session import apply_settings
-from tickersieve.sources import files, state
+from tickersieve.sources import bars_store, files, landing, rejects, state
 from tickersieve.sources.store import new_path, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 CFG, AS_OF, AT = B.CONFIG, B.AS_OF, B.UPDATED_AT
 QUERIES: dict[str, Query] = {}
 
-# The stored stock table per session and input folder, as the screen keeps it between views.
+# The stored stock table per session and state of the input files, as the screen keeps it between views.
 _stored: dict[tuple, DataFrame] = {}
 
 
@@ -66,8 +66,16 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
+def _file_state(spark: SparkSession, sf_dir: str) -> tuple[tuple[str, int, int], ...]:
+    """Name, time and size of what the folder's stock tables are made of."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f for f in system.listStatus(folder) if f.getPath().getName() in ("part.parquet", "lineitem.parquet")]
+    return tuple(sorted((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in found))
+
+
 def stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, _file_state(spark, sf_dir))
     if key not in _stored:
         _stored[key] = store(B.stocks(spark, sf_dir), "stocks")
     return _stored[key]
@@ -127,17 +135,48 @@ def max_drawdown(spark, sf_dir):
 
 @query
 def eod_metrics(spark, sf_dir):
-    return bar_ops.eod_metrics(B.bars(spark, sf_dir), AT)
+    return bar_ops.eod_metrics(B.bars(spark, sf_dir), AT, one_a_day=True)
 
 
 @query
 def eod_metrics_short(spark, sf_dir):
-    return bar_ops.eod_metrics(B.bars_short(spark, sf_dir), AT)
+    return bar_ops.eod_metrics(B.bars_short(spark, sf_dir), AT, one_a_day=True)
 
 
 @query
 def eod_metrics_13mo(spark, sf_dir):
-    return bar_ops.eod_metrics(B.bars(spark, sf_dir), AT, AS_OF, 13)
+    return bar_ops.eod_metrics(B.bars(spark, sf_dir), AT, AS_OF, 13, one_a_day=True)
+
+
+@query
+def eod_metrics_long_history(spark, sf_dir):
+    """From a table of bars, with the newest values of each symbol chosen before the exchange."""
+    return bar_ops.eod_metrics_long_history(store(B.bars(spark, sf_dir), "bars"), AT)
+
+
+@query
+def eod_metrics_bucketed(spark, sf_dir):
+    """From a table of bars in buckets of symbols: no exchange at all."""
+    bars = bars_store.write_bars(B.bars(spark, sf_dir), "bars", 8)
+    return bar_ops.price_rows(bar_ops.bar_metrics(bars), AT)
+
+
+@query
+def eod_metrics_incremental(spark, sf_dir):
+    """Most of the history at first, then new days in three deliveries, and at last late and corrected bars.
+
+    At first some days are left out, some have another close, and some a close that is taken back later."""
+    bars = store(B.bars(spark, sf_dir), "bars")
+    day, key = F.dayofmonth("date"), F.crc32("symbol")
+    late, wrong, void = day == 1 + key % 7, day == 20 + key % 5, day == 26 + key % 2
+    edges = ["2001-06-30", "2001-08-31", "2001-09-30"]
+    delivered = bars.where(~late).withColumn("close", F.when(wrong | (void & F.col("close").isNull()), F.dayofyear("date") * 1.0).otherwise(F.col("close")))
+    kept = lambda df: bars_store.write_by_symbol(df, "bar_state", 8)
+    state_rows = kept(bar_state.initial_state(delivered.where(F.col("date") <= edges[0])))
+    for since, until in zip(edges, [*edges[1:], "9999-12-31"]):
+        state_rows = kept(bar_state.merge_state(state_rows, delivered.where((F.col("date") > since) & (F.col("date") <= until))))
+    state_rows = kept(bar_state.merge_state(state_rows, bars.where(late | wrong | void)))
+    return bar_ops.price_rows(bar_state.state_metrics(bar_state.rebuilt(state_rows, bars)), AT)
 
 
 @query
@@ -396,6 +435,44 @@ def bulk_latest_date(spark, sf_dir):
     return feeds.bulk_latest_date(_quotes(spark, sf_dir), wanted, AS_OF)
 
 
+@query
+def bulk_partitioned(spark, sf_dir):
+    """The bulk feed landed in one partition per day; the newest useful day alone is read."""
+    key = F.substring("symbol", 3, 20).cast("long")
+    row = F.struct("symbol", F.col("close").cast("string").alias("close"), F.col("adj_close").alias("adjClose"))
+    days = B.bars(spark, sf_dir).groupBy("date", F.floor(key / 16).alias("part")).agg(F.collect_list(row).alias("rows"))
+    path = new_path(spark, "bulk")
+    landing.land_bulk(days.select("date", _rows_json(F.dayofmonth("date"), F.col("rows")).alias("json")), path)
+    rich = B.table(spark, sf_dir, "supplier").where("s_acctbal > 5000")
+    wanted = rich.select(F.concat(F.lit("S."), F.col("s_suppkey")).alias("symbol"))
+    return landing.bulk_latest_partition(spark, path, wanted, AS_OF)
+
+
+@query
+def mixed_folder(spark, sf_dir):
+    """Records of all shapes in one folder, by turns of the supplier, and some that are no JSON."""
+    h, turn = F.col("h"), F.col("key") % 6
+    quote = lambda x: F.struct(x["date"].cast("string").alias("date"), x["close"].alias("close"), x["adj_close"].alias("adjClose"))
+    newest, oldest = F.reverse(F.transform(h, quote)), F.transform(h, quote)
+    epochs = F.transform(h, lambda x: F.unix_date(x["date"]).cast("long") * 86400)
+    result = F.struct(epochs.alias("timestamp"), F.struct(F.array(F.struct(F.transform(h, lambda x: x["close"]).alias("close"))).alias("quote")).alias("indicators"))
+    chart = F.struct(F.struct(F.array(result).alias("result")).alias("chart"))
+    one = F.struct("symbol", newest.alias("historical"))
+    last = F.element_at(h, -1)
+    row = F.struct(F.col("symbol").alias("ticker"), last["date"].cast("string").alias("date"), F.concat(last["adj_close"].cast("string"), F.lit(" USD")).alias("adjClose"))
+    text = (
+        F.when(turn == 0, F.to_json(chart))
+        .when(turn == 1, F.to_json(one))
+        .when(turn == 2, F.to_json(F.struct(F.array(one).alias("historicalStockList"))))
+        .when(turn == 3, F.to_json(F.struct(oldest.alias("historical"))))
+        .when(turn == 4, F.to_json(F.struct(F.array(row).alias("data"))))
+        .otherwise(F.when(F.col("key") % 4 == 1, "{not json").otherwise(F.to_json(F.array(row))))
+    )
+    path = new_path(spark, "mixed")
+    _histories(spark, sf_dir).select("symbol", text.alias("json")).write.parquet(path)
+    return mixed.mixed_quotes(spark.read.parquet(path))
+
+
 @query
 def fund_from_json(spark, sf_dir):
     f = B.fund(spark, sf_dir)
@@ -523,10 +600,10 @@ def recent_weekdays(spark, sf_dir):
 
 
 def _three_files(spark, tables: list[DataFrame]) -> str:
-    """Files of very different sizes in one folder; the last one in order is the smallest."""
+    """Folders of files of very different sizes; the last one in order is the smallest."""
     path = new_path(spark, "files")
     for number, table in enumerate(tables):
-        table.coalesce(1).write.csv(f"{path}/part={number}", header=True)
+        table.write.csv(f"{path}/part={number}", header=True)
     return f"{path}/*"
 
 
@@ -891,6 +968,65 @@ def scored_own_sector(spark, sf_dir):
     return _scored_columns(score(stocks(spark, sf_dir), CFG, AS_OF, peer_by="sector"))
 
 
+_VIEWS = replace(CFG, selected_sector="Utilities", search="ring")
+
+
+@query
+def peer_sets(spark, sf_dir):
+    """Percentiles and medians in all five peer sets from one ranking."""
+    rows = in_peer_sets(stocks(spark, sf_dir), views.peer_sets(_VIEWS))
+    return with_peer_stats(rows, peer_by="peer").select("symbol", "peer_set", "median_pe", "pe_percentile")
+
+
+@query
+def scored_for_views(spark, sf_dir):
+    df = views.scored_for_views(stocks(spark, sf_dir), _VIEWS, AS_OF)
+    return df.select("symbol", "peer_set", "status", "short_score", "sector_premium", "value_trap")
+
+
+@query
+def rescored_changes(spark, sf_dir):
+    """Scores after edits of a price, of a growth rate, and of the universe: only what they touch is worked out."""
+    old = stocks(spark, sf_dir)
+    new = _edited(old)
+    scores = store(_scored_columns(score(old, CFG, AS_OF, peer_by="sector")), "scores")
+    return changes.rescored(scores, old, new, CFG, AS_OF).select("symbol", "status", "pe_percentile", "short_score", "sector_premium")
+
+
+def _edited(old: DataFrame) -> DataFrame:
+    """Energy has other prices, one in five financials another growth, and one in seven utilities is gone."""
+    c, turn = F.col, F.col("ordinal")
+    gone = (c("sector") == "Utilities") & (turn % 7 == 0)
+    rows = old.where(~gone)
+    return rows.withColumns(
+        {
+            "price": F.when((c("sector") == "Energy") & (turn % 2 == 0), c("price") * 1.25).otherwise(c("price")),
+            "eps_growth": F.when((c("sector") == "Financials") & (turn % 5 == 0), F.lit(21.0)).otherwise(c("eps_growth")),
+        }
+    )
+
+
+@query
+def stock_changes(spark, sf_dir):
+    old = stocks(spark, sf_dir)
+    new = _edited(old.where("ordinal % 11 <> 3"))
+    return changes.row_changes(old.where("ordinal % 11 <> 4"), new)
+
+
+@query
+def sketch_medians(spark, sf_dir):
+    """Medians per sector from sketches of parts of the table, merged; are they within the stated error of rank?"""
+    c = F.col
+    rows = stocks(spark, sf_dir).select("sector", V.current_pe(c("price"), c("forward_eps")).alias("pe"), (c("ordinal") % 7).alias("file"))
+    kept = store(sketches.value_sketches(rows, "pe", "sector", "file"), "sketches")
+    found = sketches.quantile(sketches.merged_sketches(kept, "sector"), 0.5)
+    placed = rows.where("pe is not null").join(found, "sector").groupBy("sector", "n").agg(
+        F.avg((c("pe") < c("median")).cast("double")).alias("below"), F.avg((c("pe") <= c("median")).cast("double")).alias("upto")
+    )
+    miss = F.greatest(c("below") - 0.5, F.lit(0.5) - c("upto"))
+    return placed.select("sector", "n", (miss <= sketches.RANK_ERROR).alias("within_bound"))
+
+
 def _scored_columns(df: DataFrame) -> DataFrame:
     return df.select(
         "symbol",
@@ -921,6 +1057,18 @@ def visible(spark, sf_dir):
     return views.searched(stocks(spark, sf_dir), cfg).select("symbol", "name", "sector")
 
 
+@query
+def search_postings(spark, sf_dir):
+    """Searches for one, two and more characters through the table of trigrams."""
+    table = stocks(spark, sf_dir)
+    grams = search.write_postings(table)
+    found = None
+    for needle in ("7", "ed", " RING ", "e b"):
+        rows = search.search(table, grams, needle).select(F.lit(needle).alias("needle"), "symbol")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 @query
 def status_filter(spark, sf_dir):
     cfg = replace(CFG, search="ring", status_filter="Overvalued")
@@ -1126,6 +1274,36 @@ def import_csv(spark, sf_dir):
     return files.import_constituents(raw, old).select(*_CARRIED, "sub_industry")
 
 
+@query
+def csv_rejects(spark, sf_dir):
+    """Every line of a file is a good row or a rejected one with its reason."""
+    key = F.col("ordinal")
+    cells = F.concat_ws(",", "symbol", F.concat(F.lit('"'), F.col("name"), F.lit(', Inc."')), "sector")
+    line = (
+        F.when(key % 11 == 0, F.concat_ws(",", "symbol", "name"))
+        .when(key % 11 == 1, F.concat(cells, F.lit(",more")))
+        .when(key % 11 == 2, F.lit(' ,"",'))
+        .otherwise(cells)
+    )
+    path = new_path(spark, "lines")
+    B.fund(spark, sf_dir).select(line).write.text(path)
+    good, rejected = rejects.read_csv_checked(spark, path, ["symbol", "name", "sector"])
+    kept = good.select("symbol", "name", "sector", F.lit("").alias("reason"), F.lit("").alias("line"))
+    return kept.unionByName(rejected.select("reason", "line"), allowMissingColumns=True)
+
+
+@query
+def required_rows(spark, sf_dir):
+    """What a job says of a result with rows and of one without."""
+    rows = B.fund(spark, sf_dir)
+    n = files.require_rows(rows, "prices").count()
+    try:
+        said = str(files.require_rows(rows.where("price < 0"), "prices"))
+    except RuntimeError as error:
+        said = str(error)
+    return rows.agg(F.lit(n).alias("n"), F.lit(said).alias("said"))
+
+
 @query
 def stock_json_roundtrip(spark, sf_dir):
     path = new_path(spark, "stock-json")

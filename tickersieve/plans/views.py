@@ -13,6 +13,7 @@ from tickersieve.config import ALL, OVERVALUED, SECTOR_ORDER, ScreenConfig
 from tickersieve.functions import scoring as S
 from tickersieve.functions.symbols import normalize_symbol
 from tickersieve.functions.text import matches_search, sector_label, status_label
+from tickersieve.operators.peers import in_peer_sets
 from tickersieve.operators.ranking import median_of
 from tickersieve.operators.score import score
 from tickersieve.operators.universe import is_watched
@@ -67,6 +68,28 @@ def screen(stocks: DataFrame, cfg: ScreenConfig, as_of: Day) -> DataFrame:
     return score(rows.join(wanted, "symbol", "left_semi"), cfg, as_of, peers=peers)
 
 
+def peer_sets(cfg: ScreenConfig) -> dict[str, tuple[Column, Column]]:
+    """Who is compared with whom in the views of one render: everyone, the selected sector, each
+    in its own sector, the user's own stocks, and the rows that a search finds."""
+    one = F.lit("")
+    columns = [F.col(c) for c in ("symbol", "name", "sector", "sub_industry")]
+    sector = F.lit(True) if cfg.selected_sector == ALL else F.col("sector") == cfg.selected_sector
+    return {
+        "all": (F.lit(True), one),
+        "selected": (sector, one),
+        "own_sector": (F.lit(True), F.col("sector")),
+        "watchlist": (is_watched(), one),
+        "search": (matches_search(cfg.search, *columns), one),
+    }
+
+
+def scored_for_views(stocks: DataFrame, cfg: ScreenConfig, as_of: Day) -> DataFrame:
+    """Every stock scored in each peer set it belongs to: all views of a render read this one table.
+
+    The sets are ranked together; `peer_set` tells them apart."""
+    return score(in_peer_sets(stocks, peer_sets(cfg)), cfg, as_of, peer_by="peer").drop("peer")
+
+
 def column_name(sort_key: str) -> str:
     """The column of a sort key such as `forwardEPS`."""
     if sort_key == "range52":
