@@ -226,7 +226,8 @@ def bulk_latest_date(
         F.col("date").between(F.date_sub(today, days_back - 1), today)
         & F.array_contains(recent_weekdays(as_of, days_back), F.col("date"))
     ).select(normalize_symbol(F.col("symbol")).alias("symbol"), price.alias("price"), "date")
-    usable = recent.where(truthy(F.col("price"))).join(symbols, "symbol", "left_semi")
+    # Written once: the newest date and its rows would each parse the responses again.
+    usable = store(recent.where(truthy(F.col("price"))).join(symbols, "symbol", "left_semi"), "bulk-quotes")
     newest = usable.agg(F.max("date").alias("newest")).scalar()
     return usable.where(F.col("date") == newest)
 

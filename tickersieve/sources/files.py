@@ -79,6 +79,7 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
 # Bits of a position that number rows within a task, and the bytes of input that share one number
 # above them; no less than a file split has.
 _ROW_BITS, _BLOCK_BYTES = 33, 1 << 18
+_BROADCAST_FILES = 50_000
 
 
 def with_position(df: DataFrame, path: str, name: str) -> DataFrame:
@@ -95,6 +96,9 @@ def with_position(df: DataFrame, path: str, name: str) -> DataFrame:
     block = F.floor(F.col("_metadata.file_block_start") / _BLOCK_BYTES)
     placed = df.select("*", F.col("_metadata.file_path").alias("_file"), block.alias("_block"), row.alias("_row"))
     position = F.shiftleft((F.col("_start") + F.col("_block")).cast("long"), _ROW_BITS) + F.col("_row")
+    # One short row per file; beyond this number of files the rows are shuffled to them instead.
+    if len(df.inputFiles()) <= _BROADCAST_FILES:
+        starts = F.broadcast(starts)
     return placed.join(starts, "_file").withColumn(name, position).drop("_file", "_block", "_row", "_start")
 
 

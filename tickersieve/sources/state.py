@@ -95,7 +95,8 @@ def read_state_parts(spark: SparkSession, path: str) -> tuple[DataFrame, dict[st
 
 
 def read_state(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, Any]]:
-    """The stocks and settings of a document in a single file."""
+    """The stocks and settings of a document in a single file, as a browser saves it; one task reads it, so it
+    must fit in one row (2 GB). What `write_state` wrote is read in parallel by `read_state_parts`."""
     text = spark.read.text(path, wholetext=True)
     kind = T.StructType([T.StructField("stocks", T.ArrayType(_state_type())), T.StructField("settings", T.StringType())])
     document = text.select(F.from_json("value", kind).alias("d"))
