@@ -98,6 +98,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 # These have results that SQL can state in full; the others are tested in tests/llm.
 _WORDS = r"coalesce(regexp_extract_all({}, '[^\x20\x09-\x0D]+'), [])"
+
+
+def _rest(byte: int) -> int:
+    """The remainder of the public CRC-32 for a byte, from its polynomial."""
+    for _ in range(8):
+        byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+    return byte
+
+
+# The unsigned crc32 of a text, byte by byte.
+_CRC32 = (
+    "xor(list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(encode({0}))), lambda i: cast('0x' || substr(hex(encode({0})), 2 * i + 1, 2) as bigint))), "
+    f"lambda state, byte: xor({[_rest(b) for b in range(256)]}[(xor(state, byte) & 255) + 1], state >> 8)), 4294967295)"
+)
+
+
+def _cutoffs() -> str:
+    return ", ".join(f"({r}, {k}, {c})" for r, (_, _, cutoffs, _) in enumerate(quality.RULES.values()) for k, c in enumerate(cutoffs, 1))
+
+
+def _rule_sql(number: int) -> str:
+    count, by, _, below = list(quality.RULES.values())[number]
+    return f"{count} * {quality.SCALE} {'<' if below else '>'} cutoff * {by or 1}"
+
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": f"""
 with texts as (select doc_id, {_WORDS.format("text")} as words from documents),
@@ -168,4 +193,75 @@ ranked as (
   from (select * from pairs union all select * from terms))
 select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank
 from ranked where part = 'pair' or rank <= 10""",
+    "op12_quality_rules": f"""
+with texts as (
+  select row_number() over () as id, doc_id, coalesce(lang, '') as stratum, coalesce(text, '') as text, {_WORDS.format("text")} as words from documents),
+windows as (
+  select id, i, array_to_string(words[i:i + 7], ' ') as run
+  from (select id, words, unnest(range(1, len(words) - 6)) as i from texts where len(words) >= 8)),
+twice as (select id, run from windows group by id, run having count(*) > 1),
+repeated as (
+  select id, count(distinct k) as n from (select w.id, unnest(range(w.i, w.i + 8)) as k from windows w semi join twice using (id, run)) group by id),
+lines as (
+  select id, count(*) as n, count(*) - count(distinct line) as again
+  from (select id, unnest(string_split(text, chr(10))) as line from texts) where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by id),
+counts as (
+  select t.id, doc_id, stratum, len(words) as n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) as word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols, coalesce(l.again, 0) as n_dup_lines,
+    coalesce(r.n, 0) as n_repeat_words, coalesce(l.n, 0) as n_lines
+  from texts t left join lines l on l.id = t.id left join repeated r on r.id = t.id),
+based as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from counts),
+cutoffs as (select * from (values {_cutoffs()}) as c(rule, k, cutoff)),
+fired as (
+  select b.id, c.rule, c.k from based b, cutoffs c where not base_failed and case c.rule
+    {" ".join(f"when {r} then {_rule_sql(r)}" for r in range(len(quality.RULES)))} end),
+marks as (select doc_id, min(quality) > 0 as good from labels where doc_id is not null and quality is not null group by doc_id),
+known as (select b.id, b.stratum, m.good, {_CRC32.format("cast(b.doc_id as varchar)")} % 2 as half from based b join marks m on m.doc_id = b.doc_id where not base_failed),
+totals as (select stratum, count(*) filter (good) as good_all, count(*) filter (not good) as bad_all from known where half = 0 group by stratum),
+offered as (
+  select k.stratum, f.rule, f.k, count(*) filter (good) as good, count(*) filter (not good) as bad, any_value(good_all) as good_all, any_value(bad_all) as bad_all
+  from known k join fired f on f.id = k.id join totals t on t.stratum = k.stratum where half = 0 group by k.stratum, f.rule, f.k),
+steps as (
+  select stratum, rule, k, row_number() over (partition by stratum order by good, bad desc, rule, k) as step
+  from offered where bad > 0 and bad * good_all >= {quality.LIFT} * good * bad_all),
+firsts as (select b.id, min(s.step) as step from based b join fired f on f.id = b.id join steps s on s.stratum = b.stratum and s.rule = f.rule and s.k = f.k group by b.id),
+holdout as (select k.stratum, f.step from known k semi join totals t on t.stratum = k.stratum left join firsts f on f.id = k.id where half = 1 and good),
+sizes as (select stratum, count(*) as n, count(*) over () as strata from holdout group by stratum),
+tried as (
+  select s.stratum, s.step, z.n, z.strata, (select count(*) from holdout h where h.stratum = s.stratum and h.step <= s.step) as k
+  from steps s join sizes z on z.stratum = s.stratum),
+passed as (
+  select stratum, step, k <= n * {quality.RISK} and list_sum(list_transform(range(0, k + 1), lambda i:
+      exp(lgamma(n + 1) - (case when i = 0 then 0 else lgamma(i + 1) end) - (case when i = n then 0 else lgamma(n - i + 1) end)
+        + i * ln({quality.RISK}) + (n - i) * ln(1 - {quality.RISK})))) <= cast({quality.LEVEL} as double) / strata as ok from tried),
+chosen as (
+  select stratum, coalesce(min(step) filter (not ok) - 1, max(step)) as last from passed group by stratum)
+select b.doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
+  cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
+  not base_failed and not coalesce(f.step <= c.last, false) as kept
+from based b left join firsts f on f.id = b.id left join chosen c on c.stratum = b.stratum""",
+    "op13_spelling_variants": f"""
+with recursive runs as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00c0-\u00ff]+')) as run from documents),
+each as (select doc_id, run, count(*) as n from runs group by doc_id, run),
+hashed as (select run, n, {_CRC32.format("coalesce(cast(doc_id as varchar), '') || ':' || run")} as h from each),
+thinned as (
+  select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from hashed),
+words as (select word, cast(sum(n) as bigint) as n from thinned where length(word) >= 5 group by word having sum(n) >= 3),
+less as (select word, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select word, unnest(range(1, length(word) + 1)) as i from words)),
+near as (
+  select a.word, b.word as other from less a join less b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select a.word, w.word from less a join words w on w.word = a.rest
+  union select w.word, a.word from less a join words w on w.word = a.rest),
+best as (
+  select e.word, e.other, o.n, count(*) over (partition by e.word) as n_near, row_number() over (partition by e.word order by o.n desc, e.other) as rank
+  from near e join words o on o.word = e.other),
+forms as (
+  select w.word, w.n, coalesce(b.n_near, 0) as n_near, case when b.n >= 2 * w.n then b.other end as form, case when b.n >= 2 * w.n then b.n end as form_n
+  from words w left join best b on b.word = w.word and b.rank = 1),
+ways as (
+  select word, word as at from forms
+  union all select w.word, f.form from ways w join forms f on f.word = w.at where f.form is not null)
+select f.word, f.form, w.at as root, f.n, cast(f.n_near as bigint) as n_near, f.form_n
+from forms f join ways w on w.word = f.word join forms e on e.word = w.at where e.form is null""",
 }
