@@ -1,4 +1,6 @@
+import random
 import re
+import time
 from html import unescape
 
 import pytest
@@ -44,9 +46,58 @@ def test_names_of_page_parts():
 
 
 def test_paths_with_more_text_and_punctuation_score_higher():
-    found, _ = html.blocks("<div><p>Long text, with signs. And more of it, here.</p><p>Again, a sentence.</p></div><ul><li>x</li><li>y</li></ul>")
-    score = html.scores(found)
-    assert min(score[:2]) > max(score[2:]) and {b.path for b in found} == {"div/p", "ul/li"}
+    page = html.Page("<div><p>Long text, with signs. And more of it, here.</p><p>Again, a sentence.</p></div><ul><li>x</li><li>y</li></ul>")
+    score = page.scores(page.ratios())
+    assert min(score[:2]) > max(score[2:]) and [b.path for b in page.blocks] == [1, 1, 3, 3]
+
+
+def plain_ratios(page):
+    """The ratios of a page's paths by their texts, from a plain reading of well-formed pages without names."""
+    stack, found = [], []
+    for close, tag, text in re.findall(r"<(/?)([a-z0-9]+)>([^<]*)", page):
+        stack = stack[:-1] if close else [*stack, tag]
+        if text.strip():
+            found.append(("/".join(stack), text.strip(), any(t in ("article", "main") for t in stack)))
+    out = []
+    for path, _, marked in found:
+        own = [t for p, t, _ in found if p == path]
+        length, signs = sum(map(len, own)) / len(own), sum(len(html.PUNCTUATION.findall(t)) for t in own) / len(own)
+        out.append(length * (1 + signs) * (html.BONUS if marked else 1))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_ratios_match_a_plain_statement_by_path_texts(seed):
+    pick = random.Random(seed)
+
+    def element(depth):
+        tag = pick.choice(["div", "section", "article", "blockquote"])
+        if depth == 0 or pick.random() < 0.4:
+            return f"<p>{'Some words, here. ' * pick.randrange(1, 5)}</p>"
+        return f"<{tag}>{''.join(element(depth - 1) for _ in range(pick.randrange(1, 4)))}</{tag}>"
+
+    page = f"<div>{''.join(element(4) for _ in range(6))}</div>"
+    assert html.Page(page).ratios() == pytest.approx(plain_ratios(page))
+
+
+def test_parts_of_an_article_whatever_their_names():
+    a, b = "A first paragraph, with words. And more of them.", "A second one; it goes on, and on."
+    for name in ("discussion", "related-work", "legal", "search-results"):
+        page = f"<article><h1>T</h1><p>{a}</p><section class='{name}'><p>{b}</p><p>{a}</p></section></article>"
+        assert html.main_text(page) == f"T {a} {b} {a}", name
+    for name in ("discussion", "sidebar-layout", "page-comments"):
+        assert html.main_text(f"<body><div class='{name}'><p>{a}</p><p>{b}</p></div><p>Short.</p></body>").startswith(f"{a} {b}"), name
+    assert html.main_text(f"<article><p>{a} A <span class='tag'>word</span> inside.</p><ul><li><a href=x>Linked item</a></li><li>Other item</li></ul><p>{b}</p></article>") == f"{a} A word inside. Linked item Other item {b}"
+    assert html.main_text(f"<article><p>{a} <span hidden>not</span> seen.</p></article>") == f"{a} seen."
+    beside = f"<body><ul><li><a href=1>One link</a></li><li><a href=2>Two links</a></li></ul><div><p>{a}</p><p>{b}</p><p>{a}</p></div></body>"
+    assert html.main_text(beside) == f"{a} {b} {a}"
+
+
+def test_deep_and_broken_nesting_takes_time_in_proportion():
+    for page in ("<div>" * 50_000 + "Words, at the bottom.", "<div><p>Words, here.</p>" * 50_000, "<div>" * 50_000 + "</section></x></p>" * 50_000 + "Words.", "<ul><li>x, y." * 30_000):
+        start = time.perf_counter()
+        assert html.main_text(page)
+        assert time.perf_counter() - start < 15
 
 
 def test_the_given_pages(spark, sf_dir):
