@@ -1,4 +1,7 @@
 import hashlib
+import math
+import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -47,3 +50,25 @@ def test_awkward_rows_and_empty_table(spark):
     assert one[0].edited_sha256 == hashlib.sha256(b"abab").hexdigest()
     assert fp.edited_fingerprints(cases.empty(spark)).collect() == []
     assert fp.fingerprints(cases.awkward(spark)).count() == 12
+
+
+def test_a_sum_of_paragraphs_whatever_their_number():
+    text = "one two three four\nfive six\n\nseven\nfive six"
+    total = np.zeros_like(fp.vectors(pa.array([""]))[0])
+    for line in text.split("\n"):
+        total = fp.insert(total, fp.vectors(pa.array([line]))[0])
+    assert (total == fp.vectors(pa.array([text]))[0]).all()
+    much, half, none, round_ = fp.vectors(pa.array(["a b c\n" * 40_000, "a b c\n" * 20_000, "", "a b c\n" * 65_536]))
+    assert fp.likeness(much[None], half[None])[0] > 0.999 and (much != half).any()
+    assert (round_ != none).any() and fp.likeness(round_[None], none[None])[0] == 0
+
+
+def test_likeness_is_near_the_cosine_of_word_triples():
+    pick = random.Random(3)
+    texts = cases.sentences(5, 40, 60, (150, 200))
+    pairs = [(t, cases.edited(t, pick.random() / 3, pick)) for t in texts] + list(zip(texts, texts[1:]))
+    for a, b in pairs:
+        x, y = (Counter(tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)) for t in (a, b))
+        cosine = sum(n * y[k] for k, n in x.items()) / math.sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values()))
+        near = fp.likeness(fp.vectors(pa.array([a])), fp.vectors(pa.array([b])))[0]
+        assert abs(near - cosine) < 0.3

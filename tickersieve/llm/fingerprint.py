@@ -1,11 +1,12 @@
 """Homomorphic multiset fingerprints of documents.
 
 A document is the multiset of its paragraphs (lines that hold a word). Each paragraph hashes to a
-vector of LANES numbers; a document's fingerprint is the sum of its paragraphs' vectors modulo 2**16.
+vector of numbers; a document's fingerprint is the sum of its paragraphs' vectors modulo powers of two.
 So the order of paragraphs doesn't matter, and a paragraph is inserted or deleted by adding or
-subtracting its vector, without the rest. The first EXACT lanes are full 16-bit numbers from the
-paragraph's hash and tell texts apart; the other lanes are signed counts of its word triples
-and give a likeness: the cosine of two documents, below 0 taken as 0.
+subtracting its vector, without the rest. The first EXACT lanes are numbers modulo 2**64 from the
+paragraph's hash and tell texts apart; the other SKETCH lanes, modulo 2**32, are signed counts of its word triples
+and give a likeness: the cosine of two documents, below 0 taken as 0. A text of Spark's largest size, 2 GB,
+repeats a paragraph less than 2**31 times, so that no lane goes round.
 
 A null or empty text has the zero vector: equal to another empty one (likeness 1), unlike the rest (0).
 """
@@ -24,19 +25,19 @@ from pyspark.sql import DataFrame
 from tickersieve.llm.frames import batch, bytes_of, chunks, documents, map_arrow, ordered_buckets, parts_for, range_cuts, ship
 from tickersieve.llm.words import BASE, hash_spans, mix, spans
 
-EXACT = 32
+EXACT = 16
 SKETCH = 256
-LANES = EXACT + SKETCH
 CHUNK = 2 << 20
 _STEPS = np.arange(EXACT, dtype=np.uint64) * BASE
 _BASE_2 = np.uint64(pow(int(BASE), 2, 1 << 64))
 
 
 def vectors(texts: pa.Array) -> np.ndarray:
-    """The fingerprint of each text as one row of LANES unsigned 16-bit numbers."""
+    """The fingerprint of each text as a row of 32-bit numbers: two for each exact lane, then the sketch."""
     data, offsets = bytes_of(texts)
     n = len(offsets) - 1
-    out = np.zeros((n, LANES), np.uint16)
+    out = np.zeros((n, 2 * EXACT + SKETCH), np.uint32)
+    exact = np.zeros((n, EXACT), np.uint64)
     starts, ends, first = spans(data, offsets)
     if not len(starts):
         return out
@@ -51,8 +52,8 @@ def vectors(texts: pa.Array) -> np.ndarray:
     lines = hash_spans(data, starts[head], ends[tail])
     cut = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
     for lane in range(EXACT):
-        value = mix(lines + _STEPS[lane]).astype(np.uint16)
-        out[owner[cut], lane] = np.add.reduceat(value, cut, dtype=np.uint16)
+        exact[owner[cut], lane] = np.add.reduceat(mix(lines + _STEPS[lane]), cut)
+    out[:, : 2 * EXACT] = exact.view(np.uint32)
     # word triples within a paragraph; of shorter ones all words together
     words = hash_spans(data, starts, ends)
     place = np.arange(len(starts)) - np.repeat(head, tail - head + 1)
@@ -64,32 +65,40 @@ def vectors(texts: pa.Array) -> np.ndarray:
     triple, at = mix(triple[use]), doc[use]
     sign = np.where(triple >> np.uint64(63), 1.0, -1.0)
     cells = np.bincount(at * SKETCH + (triple & np.uint64(SKETCH - 1)).astype(np.int64), sign, n * SKETCH)
-    out[:, EXACT:] = cells.reshape(n, SKETCH).astype(np.int64).astype(np.uint16)
+    out[:, 2 * EXACT :] = cells.reshape(n, SKETCH).astype(np.int64).astype(np.uint32)
     return out
 
 
+def _exact(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows[..., : 2 * EXACT]).view(np.uint64)
+
+
 def insert(fingerprint: np.ndarray, paragraph: np.ndarray) -> np.ndarray:
-    return fingerprint + paragraph
+    out = fingerprint + paragraph
+    out[..., : 2 * EXACT] = (_exact(fingerprint) + _exact(paragraph)).view(np.uint32)
+    return out
 
 
 def delete(fingerprint: np.ndarray, paragraph: np.ndarray) -> np.ndarray:
-    return fingerprint - paragraph
+    out = fingerprint - paragraph
+    out[..., : 2 * EXACT] = (_exact(fingerprint) - _exact(paragraph)).view(np.uint32)
+    return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row; exactly 1 for equal fingerprints."""
-    x, y = a[:, EXACT:].astype(np.int16).astype(float), b[:, EXACT:].astype(np.int16).astype(float)
+    x, y = (v[:, 2 * EXACT :].astype(np.int32).astype(float) for v in (a, b))
     lengths = np.sqrt((x * x).sum(1) * (y * y).sum(1))
     cosine = np.clip((x * y).sum(1) / np.where(lengths > 0, lengths, 1), 0, 1)
     return np.where((a == b).all(1), 1.0, np.where(lengths > 0, cosine, 0.0))
 
 
 def encode(rows: np.ndarray) -> list[str]:
-    return [base64.b64encode(r.astype("<u2").tobytes()).decode() for r in rows]
+    return [base64.b64encode(r.astype("<u4").tobytes()).decode() for r in rows]
 
 
 def decode(text: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(text), "<u2")
+    return np.frombuffer(base64.b64decode(text), "<u4")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
