@@ -98,3 +98,13 @@ def test_edited_single_copies_are_found(spark):
     for k, score in scores.items():
         if score >= decontaminate.THRESHOLD:
             assert (found[k].n_items, found[k].item_id, found[k].score) == (1, k, score), (k, score)
+
+
+def test_long_items_score_in_full():
+    """Scores beyond 16 bits, and an item of 40,000 words in a narrow passage."""
+    long_ = np.arange(1, 34_001, dtype=np.uint64)[None]
+    narrow = long_[:, 500:560]
+    assert decontaminate.align(narrow, np.arange(1, 40_001, dtype=np.uint64)[None])[0] == 60
+    wide = np.concatenate([np.full((1, 33_000), 7, np.uint64), np.arange(100, 150, dtype=np.uint64)[None]], axis=1)
+    assert decontaminate.align(wide, np.arange(100, 150, dtype=np.uint64)[None])[0] == 50
+    assert decontaminate.align(long_[:, :1000], long_[:, :1000])[0] == 1000

@@ -12,6 +12,8 @@ Items are taken in blocks of at most BLOCK_BYTES of text, each against all docum
 sent to the tasks. Words are runs of letters and digits in lower case. Items of one word or none have no pair and match nothing;
 one of two words matches only where both stand together; a null
 or empty text is clean. Repeated rows repeat their result. Ties go to the smallest item_id.
+Items and texts may have any length: scores are 32-bit numbers, and an alignment takes as many steps as item and passage have
+words multiplied, in memory of a few rows of the passage's length.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from tickersieve.llm.words import hash_spans, inside_one, spans, window_hashes
 SEED = 2
 THRESHOLD = 0.5
 BLOCK_BYTES = 4 << 20
-CELLS = 4 << 20  # of alignment tables worked on at once
+CELLS = 2 << 20  # of alignment tables worked on at once
 
 _KEPT = np.full(256, 0x20, np.uint8)
 for _low, _high in (("a", "z"), ("0", "9")):
@@ -113,12 +115,12 @@ def _counter(items: Items):
 def align(passage: np.ndarray, item: np.ndarray) -> np.ndarray:
     """Best local alignment score of each row of `passage` with the same row of `item` (0: no word)."""
     width = passage.shape[1]
-    best = np.zeros(len(passage), np.int16)
-    above = np.zeros((len(passage), width + 1), np.int16)
-    slope = np.arange(width + 1, dtype=np.int16)
+    best = np.zeros(len(passage), np.int32)
+    above = np.zeros((len(passage), width + 1), np.int32)
+    slope = np.arange(width + 1, dtype=np.int32)
     for i in range(item.shape[1]):
         word = item[:, i : i + 1]
-        score = np.where((passage == word) & (word != 0), 1, -1).astype(np.int16)
+        score = np.where((passage == word) & (word != 0), 1, -1).astype(np.int32)
         now = np.zeros_like(above)
         np.maximum(above[:, :-1] + score, above[:, 1:] - 1, out=now[:, 1:])
         np.maximum(now, 0, out=now)
