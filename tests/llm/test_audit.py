@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tests.llm import cases
@@ -65,15 +66,22 @@ def test_small_steps_and_flushes(spark, monkeypatch):
     import pyarrow as pa
 
     batches = [pa.RecordBatch.from_pylist([{"g": 1, "l": 1, "text": t} for _, _, t in rows[i : i + 20]], pa.schema([("g", pa.int64()), ("l", pa.int64()), ("text", pa.string())])) for i in range(0, 200, 20)]
-    whole = pa.Table.from_batches(list(audit._terms(iter(batches), 64))).group_by("term").aggregate([("n", "sum"), ("df", "sum")]).sort_by("term").to_pylist()
+    every = audit.Filter(np.full(1024, ~np.uint64(0)))
+    sums = lambda parts: pa.Table.from_batches(parts).group_by("term").aggregate([("n", "sum"), ("df", "sum")]).sort_by("term").to_pylist()
+    whole = sums(list(audit._terms(iter(batches), 64, every)))
     monkeypatch.setattr(audit, "PENDING", 5)
     monkeypatch.setattr(audit, "PAIRS", 3)
-    parts = list(audit._terms(iter(batches), 64))
-    assert len(parts) > 1
-    assert pa.Table.from_batches(parts).group_by("term").aggregate([("n", "sum"), ("df", "sum")]).sort_by("term").to_pylist() == whole
+    parts = list(audit._terms(iter(batches), 64, every))
+    assert len(parts) > 1 and sums(parts) == whole
     assert found(docs) == expected
 
 
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    rows = some(11, 200)
+    monkeypatch.setattr(audit, "_filter_of", lambda likely: audit.Filter(np.full(1024, ~np.uint64(0))))
+    assert found(table(spark, rows)) == brute(rows)
+
+
 def test_many_ties_rank_by_term(spark):
     rows = [("en", "a", " ".join(f"t{chr(97 + k)}" for k in range(26)))] * 10 + [("en", "b", "zz")] * 10
     assert found(table(spark, rows)) == brute(rows)

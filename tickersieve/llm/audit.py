@@ -1,8 +1,10 @@
 """Audit of how sources of a language diverge in their use of terms, with late materialization of strings.
 
-Terms are runs of letters and of all characters beyond ASCII, in lower case (A-Z only). Each task writes its distinct (group,
-term) rows with counts and a 64-bit digest of the term. From then on only digests, group numbers and counts are
-read and shuffled. The terms themselves are read again in two places:
+Terms are runs of letters and of all characters beyond ASCII, in lower case (A-Z only). A first pass over the texts sums in how
+many documents of a language each 64-bit digest of a term occurs; only digests and counts are shuffled. A filter of at
+most FILTER_WORDS numbers tells tasks which digests may be kept; it lets others through at times, and these fail the exact
+count later. In a second pass each task writes its distinct (group, term) rows of these with counts, and again only digests, group
+numbers and counts are shuffled. The terms themselves are read in two places:
 
 - the smallest and the largest term of each digest that may be kept are aggregated; where they differ, the digest stands for
   several terms and is split by them;
@@ -30,13 +32,14 @@ from pyspark.sql import functions as F
 
 from tickersieve.llm.frames import batch, bytes_of, chunks, longs, ship, written
 from tickersieve.llm.runs import runs, texts_of
-from tickersieve.llm.words import LOWER, hash_spans
+from tickersieve.llm.words import LOWER, hash_spans, mix
 
 LEAST_DOCUMENTS = 10
 SCALE = 1_000_000_000
 TOP = 10
 CHUNK = 4 << 20  # bytes of text that are counted at once
 PENDING = 400_000  # rows a task holds before it writes them
+FILTER_WORDS = 1 << 20  # of 64 bits, 8 MB
 PAIRS = 2_000_000  # pairs of sources of terms that are worked out at once
 
 _INSIDE = np.zeros(256, bool)
@@ -44,51 +47,122 @@ _INSIDE[ord("A") : ord("Z") + 1] = _INSIDE[ord("a") : ord("z") + 1] = True
 _INSIDE[0x80:] = True
 
 
-def _chunk_terms(chunk: pa.RecordBatch) -> pa.Table | None:
-    """Per group and term of a chunk: occurrences and documents. Terms are told apart as whole strings."""
-    data, offsets = bytes_of(chunk.column("text"))
-    starts, ends, first = runs(_INSIDE[data], offsets)
-    if not len(starts):
-        return None
-    coded = texts_of(LOWER[data], starts, ends).dictionary_encode()
-    term, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
-    lang_of, of = longs(chunk.column("l")), longs(chunk.column("g"))
-    groups, number = np.unique(of, return_inverse=True)
-    lang = np.zeros(len(groups), np.int64)
-    lang[number] = lang_of
-    doc = np.repeat(np.arange(chunk.num_rows), np.diff(first))
-    keys, n = np.unique(number[doc] * size + term, return_counts=True)
-    once = np.unique(doc * size + term)
-    df = np.unique(number[once // size] * size + once % size, return_counts=True)[1]
-    g = keys // size
-    return pa.table({"g": groups[g], "l": lang[g], "term": coded.dictionary.take(pa.array(keys % size)), "n": n, "df": df})
-
-
-def _terms(batches, bits: int) -> Iterator[pa.RecordBatch]:
+def _mixed(l: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    return mix(digest.view(np.uint64) ^ mix(l.view(np.uint64)))
+
+
+class Filter:
+    """Bits set for (language, digest) pairs, of bounded size: may hold others too, misses none."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+
+    @staticmethod
+    def places(h: np.ndarray, n_words: int) -> list[np.ndarray]:
+        mask = np.uint64(n_words * 64 - 1)
+        return [(h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)]
+
+    def holds(self, l: np.ndarray, digest: np.ndarray) -> np.ndarray:
+        h = _mixed(l, digest)
+        found = [(self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) for at in self.places(h, len(self.words))]
+        return (found[0] & found[1]).astype(bool)
+
+
+def _filter_words(batches, n_words: int) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        at = np.concatenate(Filter.places(_mixed(longs(rows.column("l")), longs(rows.column("digest"))), n_words))
+        at = np.unique(at)
+        word = at >> 6
+        heads = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(at) else at
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), heads) if len(at) else np.zeros(0, np.uint64)
+        yield batch(word=pa.array(word[heads]), bits=pa.array(bits.view(np.int64)))
+
+
+def _filter_of(likely: DataFrame) -> Filter:
+    n_words = 1 << 10
+    count = likely.count()
+    while n_words < FILTER_WORDS and n_words * 64 < 24 * count:
+        n_words *= 2
+    parts = likely.select("l", "digest").mapInArrow(lambda b: _filter_words(b, n_words), "word long, bits long")
+    rows = parts.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(n_words, np.uint64)
+    words[longs(rows.column("word").combine_chunks())] = longs(rows.column("bits").combine_chunks()).view(np.uint64)
+    return Filter(words)
+
+
+class _Coded:
+    """The terms of a chunk of texts as numbers; terms are told apart as whole strings."""
+
+    def __init__(self, chunk: pa.RecordBatch, bits: int) -> None:
+        data, offsets = bytes_of(chunk.column("text"))
+        starts, ends, first = runs(_INSIDE[data], offsets)
+        coded = texts_of(LOWER[data], starts, ends).dictionary_encode()
+        self.terms, self.size = coded.dictionary, max(len(coded.dictionary), 1)
+        self.term = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.doc = np.repeat(np.arange(chunk.num_rows), np.diff(first))
+        values, at = bytes_of(self.terms)
+        self.digest = (hash_spans(values, at[:-1], at[1:]) >> np.uint64(64 - bits)).view(np.int64)
+
+    def documents(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of (number of the document, term) and in how many documents each occurs."""
+        once = np.unique(self.doc * self.size + self.term)
+        return np.unique(number[once // self.size] * self.size + once % self.size, return_counts=True)
+
+
+def _frequencies(batches, bits: int) -> Iterator[pa.RecordBatch]:
+    """Per language and digest how many documents of the task hold it."""
+
+    def tables() -> Iterator[pa.Table]:
+        for whole in batches:
+            for chunk in chunks(whole, CHUNK):
+                c = _Coded(chunk, bits)
+                langs, number = np.unique(longs(chunk.column("l")), return_inverse=True)
+                keys, df = c.documents(number)
+                if len(keys):
+                    yield pa.table({"l": langs[keys // c.size], "digest": c.digest[keys % c.size], "df": df})
+
+    return _combined(tables(), ["l", "digest"], ["df"])
+
+
+def _terms(batches, bits: int, likely: Filter) -> Iterator[pa.RecordBatch]:
+    """Per group and term that may be kept: occurrences and documents of the task."""
+
+    def tables() -> Iterator[pa.Table]:
+        for whole in batches:
+            for chunk in chunks(whole, CHUNK):
+                c = _Coded(chunk, bits)
+                l = longs(chunk.column("l"))
+                langs, lang = np.unique(l, return_inverse=True)
+                open_ = np.array([likely.holds(np.full(len(c.digest), x), c.digest) for x in langs])
+                if not open_.any():
+                    continue
+                keep = open_[lang[c.doc], c.term]
+                c.doc, c.term = c.doc[keep], c.term[keep]
+                groups, place, number = np.unique(longs(chunk.column("g")), return_index=True, return_inverse=True)
+                keys, n = np.unique(number[c.doc] * c.size + c.term, return_counts=True)
+                df = c.documents(number)[1]
+                g, term = keys // c.size, keys % c.size
+                yield pa.table({"g": groups[g], "l": l[place][g], "digest": c.digest[term], "term": c.terms.take(pa.array(term)), "n": n, "df": df})
+
+    return _combined(tables(), ["g", "l", "digest", "term"], ["n", "df"])
+
+
+def _combined(tables: Iterator[pa.Table], keys: list[str], sums: list[str]) -> Iterator[pa.RecordBatch]:
+    """Sums per key over the tables of a task; at most about PENDING rows are held."""
     held: list[pa.Table] = []
 
     def joined() -> pa.Table:
-        return pa.concat_tables(held).group_by(["g", "l", "term"]).aggregate([("n", "sum"), ("df", "sum")])
-
-    def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        for part in table.combine_chunks().to_batches(max_chunksize=50_000):
-            data, offsets = bytes_of(part.column("term"))
-            digest = hash_spans(data, offsets[:-1], offsets[1:]) >> np.uint64(64 - bits)
-            yield batch(g=part.column("g"), l=part.column("l"), digest=pa.array(digest.view(np.int64)), term=part.column("term"), n=part.column("n_sum"), df=part.column("df_sum"))
-
-    for whole in batches:
-        for chunk in chunks(whole, CHUNK):
-            if (found := _chunk_terms(chunk)) is None:
-                continue
-            held.append(found)
-            if sum(t.num_rows for t in held) > PENDING:
-                table = joined()
-                held = [table.rename_columns(["g", "l", "term", "n", "df"])]
-                if table.num_rows > PENDING // 2:
-                    yield from out(table)
-                    held = []
+        return pa.concat_tables(held).group_by(keys).aggregate([(c, "sum") for c in sums]).rename_columns(keys + sums)
+
+    for table in tables:
+        held.append(table)
+        if sum(t.num_rows for t in held) > PENDING:
+            held = [joined()]
+            if held[0].num_rows > PENDING // 2:
+                yield from held[0].combine_chunks().to_batches(max_chunksize=50_000)
+                held = []
     if held:
-        yield from out(joined())
+        yield from joined().combine_chunks().to_batches(max_chunksize=50_000)
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -163,12 +237,14 @@ class Counted:
     def __init__(self, docs: DataFrame, bits: int) -> None:
         ship(docs.sparkSession)
         groups, texts = _numbered(docs)
-        terms = written(texts.mapInArrow(lambda b: _terms(b, bits), "g long, l long, digest long, term string, n long, df long"), "terms")
-        counts = written(terms.groupBy("g", "l", "digest").agg(F.sum("n").alias("n"), F.sum("df").alias("df")), "counts")
         enough = F.col("df") >= LEAST_DOCUMENTS
-        likely = counts.groupBy("l", "digest").agg(F.sum("df").alias("df")).where(enough).select("digest").distinct()
+        often = texts.select("l", "text").mapInArrow(lambda b: _frequencies(b, bits), "l long, digest long, df long")
+        likely = written(often.groupBy("l", "digest").agg(F.sum("df").alias("df")).where(enough).select("l", "digest"), "likely")
+        bound = docs.sparkSession.sparkContext.broadcast(_filter_of(likely))
+        terms = written(texts.mapInArrow(lambda b: _terms(b, bits, bound.value), "g long, l long, digest long, term string, n long, df long"), "terms")
+        counts = written(terms.groupBy("g", "l", "digest").agg(F.sum("n").alias("n"), F.sum("df").alias("df")), "counts")
         ends = [F.min("term").alias("term"), F.max("term").alias("last")]
-        self.strings = written(terms.select("digest", "term").join(likely, "digest", "left_semi").groupBy("digest").agg(*ends), "strings")
+        self.strings = written(terms.groupBy("digest").agg(*ends), "strings")
         several = self.strings.where("term != last").select("digest")
         if not several.isEmpty():
             # digests of several terms are counted again by term
