@@ -12,8 +12,9 @@ bits stand for shingles, and every link is verified on whole sets.
    documents share are seldom in a prefix. Tokens of one class end here.
 3. Groups of similar classes: each class is verified against HUBS hubs, those with which it shares most
    prefix tokens among one class per token, in a few rounds. A group is a component of such links.
-4. The matrix holds the union of prefix tokens of each group, and its smallest and largest set. A class
-   and a group that share fewer tokens than any link would need (see `_bound`) are never opened;
+4. The matrix holds the union of prefix tokens of each group, its smallest and largest set, and how many tokens
+   follow each. A class and a group whose first common token comes too late, or that share fewer tokens than
+   any link would need (see `_opened` and `_bound`), are never opened;
    qualifying groups are opened and their members verified.
 5. Components over all links.
 
@@ -142,8 +143,8 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(batches, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """key, doc_id and set size for each prefix token, of the first document of a class in this task; the
-    size is negative at a prefix's last token."""
+    """key, doc_id, set size and place in the order for each prefix token, of the first document of a class in this
+    task; the size is negative at a prefix's last token."""
     seen: set = set()
     for whole in batches:
         for chunk in chunks(whole):
@@ -158,7 +159,8 @@ def _prefixes(batches, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
             index = np.repeat(begin - (np.cumsum(taken) - taken), taken) + np.arange(taken.sum())
             size = np.repeat(sizes, taken)
             size[np.cumsum(taken) - 1] *= -1
-            yield batch(key=pa.array(keys[index]), doc_id=pa.array(np.repeat(longs(chunk.column("doc_id"))[rows], taken)), n=pa.array(size, pa.int32()))
+            place = np.arange(len(index)) - np.repeat(np.cumsum(taken) - taken, taken)
+            yield batch(key=pa.array(keys[index]), doc_id=pa.array(np.repeat(longs(chunk.column("doc_id"))[rows], taken)), n=pa.array(size, pa.int32()), pos=pa.array(place, pa.int32()))
 
 
 def _linked(chunk: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -219,7 +221,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     members = written(members.join(reps, ["c1", "c2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "members")
     def prefixes(known: np.ndarray) -> DataFrame:
         shared_list = spark.sparkContext.broadcast(known)
-        return docs.select("doc_id", "text").mapInArrow(lambda b: _prefixes(b, shared_list.value), "key long, doc_id long, n int")
+        return docs.select("doc_id", "text").mapInArrow(lambda b: _prefixes(b, shared_list.value), "key long, doc_id long, n int, pos int")
 
     found = prefixes(frequent).where(F.col("key") < LAST).groupBy(F.col("key").alias("token")).agg(F.count("*").alias("n"))
     frequent = _most_frequent(reported.unionByName(found))
@@ -229,10 +231,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     rows = several.unionByName(rows.where(F.col("key") >= LAST))
     # under the names of class representatives; copies in other tasks fall together
     ids = members.where("n > 0").select("doc_id", "rep").distinct()
-    shared = written(rows.join(ids, "doc_id").groupBy("key", F.col("rep").alias("id")).agg(F.max(F.abs("n")).alias("n"), F.min("n").alias("last")), "prefixes")
+    shared = written(rows.join(ids, "doc_id").groupBy("key", F.col("rep").alias("id")).agg(F.max(F.abs("n")).alias("n"), F.min("n").alias("last"), F.max("pos").alias("pos")), "prefixes")
     ends = shared.where("last < 0").groupBy("id").agg(F.max("key").alias("end"))
     several = shared.groupBy("key").agg(F.count("*").alias("of")).where("of > 1").select("key")
-    postings = written(shared.select("key", "id", "n").join(several, "key").join(ends, "id"), "postings")
+    postings = written(shared.select("key", "id", "n", "pos").join(several, "key").join(ends, "id"), "postings")
     dropped(shared, sets)
     texts = written(docs.join(postings.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text"), "texts")
 
@@ -241,7 +243,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     for round_ in range(STAR_ROUNDS):
         links.append(written(verified(_star_pairs(grouped, round_), texts), "links"))
         labels = components(_all(links))
-        grouped = written(postings.join(labels, postings["id"] == labels["node"], "left").select("key", "id", "n", "end", F.coalesce("component", "id").alias("group")), "grouped")
+        grouped = postings.join(labels, postings["id"] == labels["node"], "left").select("key", "id", "n", "pos", "end", F.coalesce("component", "id").alias("group"))
+        # keys of one group only have nothing left to find
+        open_keys = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
+        grouped = written(grouped.join(open_keys, "key", "left_semi"), "grouped")
         made = links[-1].count()
         first = first or made
         if made <= PROGRESS * first and round_:
@@ -287,14 +292,22 @@ def _star_pairs(grouped: DataFrame, round_: int) -> DataFrame:
 
 
 def _opened(grouped: DataFrame) -> DataFrame:
-    """Pairs of classes in different groups that may link, found through the token-group matrix."""
+    """Pairs of classes in different groups that may link, found through the token-group matrix.
+
+    Of the common tokens of two linked sets, the first is in both prefixes, and none is before it: so it is not so far behind in
+    either set that what follows it is less than a link needs. The matrix has, per token and group, the most that follows it in
+    a member; a class is looked up in a group only if one of its tokens stands early enough in both."""
     sizes = grouped.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("group", "other")
-    matrix = grouped.groupBy("key", F.col("group").alias("other")).agg(F.min("n").alias("from_n"), F.max("n").alias("to_n"))
-    overlaps = grouped.join(matrix, "key").where((F.col("group") < F.col("other")) & _sizes_fit("n", "from_n", "to_n"))
+    matrix = grouped.groupBy("key", F.col("group").alias("other")).agg(F.min("n").alias("from_n"), F.max("n").alias("to_n"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    follows = (NUMERATOR + DENOMINATOR) * F.least(F.col("n") - F.col("pos"), F.col("rest")) >= NUMERATOR * (F.col("n") + F.col("from_n"))
+    early = grouped.join(matrix, "key").where((F.col("group") < F.col("other")) & _sizes_fit("n", "from_n", "to_n") & follows)
+    early = written(early.select("id", "other").distinct(), "early")
+    overlaps = grouped.select("key", "id", "n").join(early, "id").join(matrix.select("key", "other"), ["key", "other"])
     overlaps = overlaps.groupBy("id", "other").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
     open_ = overlaps.join(sizes, "other").where(_group_bound(F.col("shared"), F.col("n"), F.col("least"), F.col("most"))).select("id", "other")
-    query = grouped.select("key", "id", "n", "end").join(open_, "id")
-    member = grouped.select("key", F.col("id").alias("b"), F.col("group").alias("other"), F.col("n").alias("n_b"), F.col("end").alias("end_b"))
+    query = grouped.select("key", "id", "n", "pos", "end").join(open_, "id")
+    member = grouped.select("key", F.col("id").alias("b"), F.col("group").alias("other"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("end").alias("end_b"))
     counted = query.join(member, ["key", "other"]).where(_sizes_fit("n", "n_b", "n_b"))
-    counted = counted.groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("shared"), *[F.first(c).alias(c) for c in ("n", "end", "n_b", "end_b")])
-    return counted.where(_bound(F.col("shared"), F.col("n"), F.col("end"), F.col("n_b"), F.col("end_b"))).select("a", "b")
+    early_here = (NUMERATOR + DENOMINATOR) * F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b")) >= NUMERATOR * (F.col("n") + F.col("n_b"))
+    counted = counted.groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("shared"), F.bool_or(early_here).alias("early"), *[F.first(c).alias(c) for c in ("n", "end", "n_b", "end_b")])
+    return counted.where(F.col("early") & _bound(F.col("shared"), F.col("n"), F.col("end"), F.col("n_b"), F.col("end_b"))).select("a", "b")
