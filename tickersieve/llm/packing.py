@@ -3,8 +3,10 @@
 Documents are encoded and only those longer than a sequence are cut into pieces. Full pieces are
 sequences by themselves. The others are dealt out by a hash into groups of about GROUP pieces, one
 task each; a group starts from best fit in descending order, and then pieces are moved, exchanged one for
-one, or two for one, between underfull bins, always so that the sum of squared fills grows, until the
-emptiest bins can be emptied no further. Each group wastes less than one bin besides what the search
+one, or two for one, between underfull bins, always so that the sum of squared fills grows. All exchanges of
+a bin with all others are looked at. A group's search ends when it has as few bins as its tokens need, or
+when PATIENCE bins in a row, the emptiest ones, cannot be emptied; the README says how near
+to the least possible number that comes. Each group wastes less than one bin besides what the search
 leaves, which is nothing against GROUP pieces; so groups need not know of each other.
 
 Null and empty texts are one piece of the end id. Repeated rows are packed each for itself. An empty
@@ -154,16 +156,21 @@ class Bins:
         place = np.repeat(bins, [len(self.items[b]) for b in bins])
         theirs = np.array(self.lengths)[item]
         room = np.array(self.free)[place]
-        mine = self.items[donor]
-        offers = [(i,) for i in mine] + [(i, j) for k, i in enumerate(mine) for j in mine[k + 1 :]]
-        best = (0, -1, ())
-        for offer in offers[:512]:
-            gain = sum(self.lengths[i] for i in offer) - theirs
-            gain = np.where((gain > 0) & (gain <= room), gain, 0)
-            k = int(gain.argmax())
-            # the sum of squares must grow: what the other bin then holds is more than the donor held
-            if gain[k] > best[0] and self.free[place[k]] - gain[k] < self.free[donor]:
-                best = (int(gain[k]), k, offer)
+        mine = np.array(self.items[donor])
+        own = np.array(self.lengths)[mine]
+        # all offers of one piece and of two, by size; an offer fits if it takes no more room than there is
+        one, two = np.triu_indices(len(mine), 1)
+        sums = np.concatenate([own, own[one] + own[two]])
+        order = np.argsort(sums, kind="stable")
+        sums = sums[order]
+        fit = np.searchsorted(sums, theirs + room, "right") - 1
+        gain = np.where(fit >= 0, sums[np.maximum(fit, 0)] - theirs, 0)
+        # the sum of squares must grow: what the other bin then holds is more than the donor held
+        gain = np.where((gain > 0) & (room - gain < self.free[donor]), gain, 0)
+        k = int(gain.argmax())
+        offer = int(order[fit[k]])
+        chosen = (offer,) if offer < len(mine) else (int(one[offer - len(mine)]), int(two[offer - len(mine)]))
+        best = (int(gain[k]), k if gain[k] > 0 else -1, [int(mine[c]) for c in chosen])
         if best[1] < 0:
             return False
         b, back = int(place[best[1]]), int(item[best[1]])
