@@ -34,6 +34,7 @@ from tickersieve.llm.words import hash_spans, inside_one, mix, spans, window_has
 
 WINDOW = 50
 ANCHOR = 10
+HOT = 0.001
 SLICE = 1 << 21  # windows looked at in one step; positions within it fit the low bits of a sort key
 _LOW = np.uint64((1 << 22) - 1)
 
@@ -116,10 +117,14 @@ def matches(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     """doc_id, text_key, first, n: `n` windows from word `first` on that a smaller doc_id also holds."""
     texts = _keyed(docs)
     found = written(map_arrow(texts, _anchors, ANCHORS, window=window, anchor=anchor), "anchors")
-    shared = found.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("segment").alias("s0"), F.max("segment").alias("s1"))
-    shared = shared.where("low < high").select("h", "low", (F.col("s0") == F.col("s1")).alias("alike"))
-    seeds = written(found.join(shared, "h").where("not alike or doc_id > low"), "seeds")
-    dropped(found)
+    shared = found.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("segment").alias("s0"), F.max("segment").alias("s1"), F.count("*").alias("of"))
+    shared = written(shared.where("low < high").select("h", "low", (F.col("s0") == F.col("s1")).alias("alike"), "of"), "shared")
+    # anchors with more than a share HOT of all rows, so less than 1 / HOT of them, are joined without a shuffle
+    hot = F.col("of") > found.count() * HOT
+    often = F.broadcast(shared.where(hot).drop("of"))
+    seeds = found.join(often, "h").unionByName(found.join(often.select("h"), "h", "left_anti").join(shared.where(~hot).drop("of"), "h"))
+    seeds = written(seeds.where("not alike or doc_id > low"), "seeds")
+    dropped(found, shared)
     differ = seeds.where("not alike").drop("low", "alike")
     first_of = differ.groupBy("h", "segment").agg(F.min("doc_id").alias("low"))
     differ = written(differ.join(first_of, ["h", "segment"]), "differ")
